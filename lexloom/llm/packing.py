@@ -11,6 +11,7 @@ Only the histogram reaches the driver; documents find their places by their rank
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,6 +27,8 @@ from .common import materialize, partitions
 WINDOW = 4096
 #: Words in a worker's cache.
 CACHE_WORDS = 1_200_000
+#: ASCII marks that end a word.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Combinations enumerated of each depth, and rounds of the solver.
 COMBINATIONS = {3: 24_000, 4: 24_000, 5: 12_000}
 ROUNDS = 400
@@ -51,23 +54,27 @@ class WordTokenizer:
 
     def _encode(self, words: list[bytes]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)):
-            self.cache[word] = np.array(got.ids, "<u4").tobytes()
+            self.cache[word] = array("I", got.ids).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
+        """Letters or digits and the marks that end their word are pre-tokens of their own, so only stems are encoded."""
         cache = self.cache
-        new = set(words).difference(cache)
-        if not new:
-            return
-        # letters and the full stop or comma after them are pre-tokens of their own
-        stems = {w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        self._encode(list((stems | {w for w in new if w[:-1] not in stems or w[-1:] not in (b".", b",")} | {b".", b","}).difference(cache)))
-        for w in new:
-            if w not in cache:
-                cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        new, whole = {}, set()
+        for w in set(words).difference(cache):
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                new[w] = stem
+                whole.update((stem, w[len(stem) :]))
+            else:
+                whole.add(w)
+        self._encode(list(whole.difference(cache)))
+        for w, stem in new.items():
+            cache[w] = cache[stem] + cache[w[len(stem) :]]
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids, the end id last."""
-        words = text.split()
+        # the file's normaliser lower-cases; its special tokens are matched before that
+        words = (text if b"<|" in text else text.lower()).split()
         found = list(map(self.cache.get, words))
         if None in found:
             self.learn(words)
