@@ -7,9 +7,10 @@ exactly one. The dictionary holds the distinct phrases, the parse says how often
 
 * a phrase that occurs twice makes all its starts repeated, whatever stands around it;
 * other repeats lie in phrases with the same trigger context (the bytes right of the trigger that every start of a phrase
-  holds). Only these phrases of the dictionary are compared: the suffixes of a block of phrases are ranked by prefix
-  doubling to the depth of `least` bytes, which gives exact classes of equal strings in the block; weighted by the
-  parse's counts, the classes are combined over all blocks by a digest.
+  holds). Only these phrases of the dictionary are compared, first as blocks of a few starts in the same way; what is then
+  left, at the ends of repeats, is ranked: the suffixes of the phrases at hand are sorted by prefix doubling to the depth
+  of `least` bytes, which gives exact classes of equal strings; weighted by the parse's counts, the classes are
+  combined over all tasks by their digests.
 
 The order of the corpus's suffixes matters here only as far as two are equal to the depth of `least`, so classes
 are combined instead of merging sorted lists; nothing needs more memory than a block, and a phrase or string that very
@@ -92,8 +93,36 @@ def _long(x) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
+#: Starts of a block, the second and finer cut of phrases.
+BLOCK_STARTS = 16
+_COLUMNS = ["doc_id", "th", "key", "digest", "n", "first", "count", "ahead"]
+
+
+def _collapse(batch: pa.RecordBatch, row, key, digest, n, first, count, ahead) -> Iterator[pa.RecordBatch]:
+    """A row for each (key, digest) of the batch with its number (2: several), and the starts that are repeated in it as rows with n = 0."""
+    order = np.lexsort((digest, key))
+    heads = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1])]))
+    total, size, some = np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(order))), order[heads]
+    known = np.sort(order[(np.repeat(total, size) > 1) & (n[order] == 1)])  # in the order of the documents
+    if len(known):  # neighbours in a document are joined
+        at = np.flatnonzero(np.concatenate([[True], (row[known][1:] != row[known][:-1]) | (first[known][1:] != first[known][:-1] + count[known][:-1])]))
+        k_row, k_first, k_count = row[known][at], first[known][at], np.add.reduceat(count[known], at)
+    else:
+        k_row = k_first = k_count = np.empty(0, np.int64)
+    zero = np.zeros(len(k_row), np.int64)
+    spread = (k_first.astype(np.uint64) * _A ^ k_row.astype(np.uint64) * _B).view(np.int64)  # a key of no meaning
+    rows = pa.array(np.concatenate([row[some], k_row]))
+    small = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+    out = [
+        batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([key[some], spread])), pa.array(np.concatenate([digest[some], zero])),
+        small((np.minimum(total, 2), zero)), pa.array(np.concatenate([first[some], k_first])), small((count[some], k_count)), small((ahead[some], zero)),
+    ]
+    for i in range(0, len(rows), 1 << 16):
+        yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in out], _COLUMNS)
+
+
 def _phrases(least: int, reach: int) -> Callable:
-    """Rows of the dictionary, counted in the batch, and starts that the batch itself shows to be repeated (known)."""
+    """The phrases of whole texts. key: the bytes that all starts of a trigger hold; digest: the phrase."""
     h, right = xxhash.xxh3_64_intdigest, least - reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,82 +138,76 @@ def _phrases(least: int, reach: int) -> Callable:
                 trigger.append(t)
                 key += [h(text[x : x + right]) for x in t.tolist()]
                 digest += [h(text[x:y]) for x, y in zip(a.tolist(), (a + n + (least - 1)).tolist())]
-            if not row:
-                continue
-            row, first, count, trigger = map(np.concatenate, (row, first, count, trigger))
-            key, digest = _long(key), _long(digest)
-            order = np.lexsort((digest, key))
-            new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1])])
-            heads = np.flatnonzero(new)
-            times = np.diff(np.append(heads, len(order)))
-            some = order[heads]
-            known = np.sort(order[np.repeat(times, times) > 1])  # in the order of the documents
-            # neighbours in a document are joined
-            if len(known):
-                cut = np.concatenate([[True], (row[known][1:] != row[known][:-1]) | (first[known][1:] != first[known][:-1] + count[known][:-1])])
-                at = np.flatnonzero(cut)
-                k_row, k_first, k_count = row[known][at], first[known][at], np.add.reduceat(count[known], at)
-            else:
-                k_row = k_first = k_count = np.empty(0, np.int64)
-            rows = np.concatenate([row[some], k_row])
-            zero = np.zeros(len(k_row), np.int64)
-            spread = _long([h(b"%d %d" % x, 1) for x in zip(k_row.tolist(), k_first.tolist())]) if len(k_row) else zero
-            out = [
-                batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
-                *(pa.array(np.concatenate(x)) for x in ((key[some], spread), (digest[some], zero), (times, zero), (first[some], k_first), (count[some], k_count))),
-            ]
-            for i in range(0, len(rows), 1 << 16):
-                yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in out], ["doc_id", "th", "key", "digest", "n", "first", "count"])
+            if row:
+                row, first, count, trigger = map(np.concatenate, (row, first, count, trigger))
+                yield from _collapse(batch, row, _long(key), _long(digest), np.ones(len(row), np.int64), first, count, trigger - first)
+
+    return run
+
+
+def _blocks(least: int) -> Callable:
+    """Listed phrases cut into blocks of BLOCK_STARTS starts, in line with their triggers, which equal strings share. key: the bytes that all
+    starts of a whole block hold; digest: the block."""
+    h, wide = xxhash.xxh3_64_intdigest, min(BLOCK_STARTS, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, n, first, count, key, digest = [], [], [], [], [], []
+            for i, (text, phrases) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
+                for e in phrases:
+                    trigger, at, end = e["first"] + e["ahead"], e["first"], e["first"] + e["count"]
+                    while at < end:
+                        last = trigger - (trigger - at) // wide * wide  # the last start of at's block
+                        stop = min(end, last + 1)
+                        row.append(i)
+                        n.append(e["n"])
+                        first.append(at)
+                        count.append(stop - at)
+                        key.append(h(text[last : last + least - wide + 1]))
+                        digest.append(h(text[at : stop + least - 1]))
+                        at = stop
+            if row:
+                row, n, first, count = (np.array(x, np.int64) for x in (row, n, first, count))
+                yield from _collapse(batch, row, _long(key), _long(digest), n, first, count, np.zeros(len(row), np.int64))
 
     return run
 
 
 def _windows(least: int) -> Callable:
-    """Classes of equal strings in the listed phrases, counted in a block, and starts that it shows to be repeated (n = 0)."""
+    """The single starts of listed blocks: the suffixes of all blocks at hand are ranked, a class of equal strings is a row."""
     h = xxhash.xxh3_64_intdigest
 
-    def block(entries: list[tuple]) -> Iterator[tuple]:
-        """entries: (row, key, n, first, count, bytes)"""
-        data = b"".join(e[5] for e in entries)
-        count = np.array([e[4] for e in entries])
-        base = np.cumsum([0, *(len(e[5]) for e in entries)])[:-1]
+    def classes(batch: pa.RecordBatch, entries: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """entries: (row, n, first, count, bytes)"""
+        data = b"".join(e[4] for e in entries)
+        row, n, first, count = (np.array([e[i] for e in entries], np.int64) for i in range(4))
+        base = np.cumsum([0, *(len(e[4]) for e in entries)])[:-1]
         which = np.repeat(np.arange(len(entries)), count)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        starts = base[which] + inside
-        ranks = suffix_classes(data, starts, least)
+        ranks = suffix_classes(data, base[which] + inside, least)
         order = np.argsort(ranks, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], ranks[order][1:] != ranks[order][:-1]]))
-        weight = np.array([e[2] for e in entries])[which]
-        total = np.add.reduceat(weight[order], heads)
+        some = (base[which] + inside)[order[heads]].tolist()
+        # a class's digest stands for its rank from here on
+        key, digest = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
         size = np.diff(np.append(heads, len(order)))
-        some = order[heads]
-        key, row, first = (np.array([e[i] for e in entries])[which] for i in (1, 0, 3))
-        at = first + inside
-        digest = _long([h(data[s : s + least]) for s in starts[some].tolist()])
-        yield row[some], key[some], digest, np.minimum(total, 2), at[some]
-        known = order[(np.repeat(total, size) > 1) & (weight[order] == 1)]
-        yield row[known], key[known], np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), at[known]
+        key[order] = np.repeat(_long([h(data[s : s + least], 1) for s in some]), size)
+        digest[order] = np.repeat(_long([h(data[s : s + least]) for s in some]), size)
+        one = np.ones(len(which), np.int64)
+        yield from _collapse(batch, row[which], key, digest, n[which], (first[which] + inside), one, 0 * one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            def blocks(batch=batch):
-                held, size = [], 0
-                for i in range(batch.num_rows):
-                    text = batch.column(2)[i].cast(pa.binary()).as_py()
-                    for e in batch.column(3)[i].as_py():
-                        held.append((i, e["key"], e["n"], e["first"], e["count"], text[e["first"] : e["first"] + e["count"] + least - 1]))
-                        size += len(held[-1][5])
-                        if size > BLOCK_BYTES:
-                            yield from block(held)
-                            held, size = [], 0
-                if held:
-                    yield from block(held)
-
-            for row, key, digest, n, at in blocks():
-                for i in range(0, len(row), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    own = pa.array(row[s])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(np.asarray(x[s], np.int64)) for x in (key, digest, n, at))], ["doc_id", "th", "key", "digest", "n", "first"])
+            held, size = [], 0
+            for i, (text, phrases) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
+                for e in phrases:
+                    held.append((i, e["n"], e["first"], e["count"], text[e["first"] : e["first"] + e["count"] + least - 1]))
+                    size += len(held[-1][4])
+                    if size > BLOCK_BYTES:
+                        yield from classes(batch, held)
+                        held, size = [], 0
+            if held:
+                yield from classes(batch, held)
 
     return run
 
@@ -200,37 +223,43 @@ def spans_of(first: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarr
     return start[at], end[np.append(at[1:], len(end)) - 1]
 
 
-def repeated_starts(docs: DataFrame, least: int = LEAST, reach: int = REACH) -> DataFrame:
-    """(doc_id, th, first, count): runs of starts whose string of `least` bytes starts elsewhere too.
+def _settle(found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(known, open): starts that these rows show to be repeated, and the dictionary of distinct phrases that aren't settled.
 
-    docs: doc_id, th (hash of the text), text. Runs may overlap and repeat.
+    A key with several phrases leaves all of them open, one of each with its count; what occurs twice as a whole is known already.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_phrases(least, reach), f"doc_id {kind}, th long, key long, digest long, n long, first long, count long")
-    # trigger contexts that occur at least twice, and whether with more than one phrase
-    contexts = found.where("n > 0").groupBy("key").agg(F.sum("n").alias("total"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    contexts = contexts.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("mixed"))
-    rows = found.join(contexts, "key", "left").where("n = 0 or mixed is not null")
-    rows = materialize(rows, "suffix-phrases")
+    keys = found.where("n > 0").groupBy("key").agg(F.sum("n").alias("total"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    keys = keys.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("mixed"))
+    rows = materialize(found.join(keys, "key", "left").where("n = 0 or mixed is not null"), f"suffix-{label}")
     at = ["doc_id", "th", "first", "count"]
     known = rows.where("n = 0 or (n = 1 and not mixed)").select(at)
-
     mixed = rows.where("n > 0 and mixed")
-    entries = mixed.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("th", "first", "doc_id", "count")).alias("at"))
-    entries = materialize(entries, "suffix-dictionary")
-    twice = entries.where("n > 1").select("key", "digest")
-    known = known.unionByName(mixed.where("n = 1").join(twice, ["key", "digest"], "left_semi").select(at))
-
-    phrase = F.struct("key", F.least("n", F.lit(2)).alias("n"), F.col("at.first").alias("first"), F.col("at.count").alias("count"))
-    wanted = entries.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th")).agg(F.collect_list(phrase).alias("phrases"))
-    texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"]))
-    strings = texts.select("doc_id", "th", "text", "phrases").mapInArrow(_windows(least), f"doc_id {kind}, th long, key long, digest long, n long, first long")
-    strings = materialize(strings, "suffix-strings")
-    one = F.lit(1).cast("long").alias("count")
-    known = known.unionByName(strings.where("n = 0").select("doc_id", "th", "first", one))
-    # equal rows of docs give equal rows here: a place counts once, and a repeated document's phrases are not unique anyway
-    classes = strings.where("n > 0").groupBy("key", "digest").agg(F.sum("n").alias("total")).where("total > 1").select("key", "digest")
-    return known.unionByName(strings.where("n = 1").join(classes, ["key", "digest"], "left_semi").select("doc_id", "th", "first", one))
+    entries = mixed.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("th", "first", "doc_id", "count", "ahead")).alias("at"))
+    entries = materialize(entries, f"suffix-{label}-dictionary")
+    known = known.unionByName(mixed.where("n = 1").join(entries.where("n > 1").select("key", "digest"), ["key", "digest"], "left_semi").select(at))
+    phrase = F.struct(F.least("n", F.lit(2)).cast("int").alias("n"), F.col("at.first").alias("first"), F.col("at.count").alias("count"), F.col("at.ahead").alias("ahead"))
+    return known, entries.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th")).agg(F.collect_list(phrase).alias("phrases"))
+
+
+def repeated_starts(docs: DataFrame, least: int = LEAST, reach: int = REACH) -> DataFrame:
+    """(doc_id, th, first, count): runs of starts whose string of `least` bytes starts elsewhere too.
+
+    docs: doc_id, th (hash of the text), text. Runs may overlap and repeat. Equal rows of docs share their runs: what such a
+    document holds occurs twice, so its phrases are known at once and it doesn't matter which of the rows is meant.
+    """
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, digest long, n int, first long, count int, ahead int"
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        hit = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"]))
+        return hit.select("doc_id", "th", "text", "phrases")
+
+    known, phrases = _settle(docs.mapInArrow(_phrases(least, reach), schema), "phrases")
+    more, blocks = _settle(texts(phrases).mapInArrow(_blocks(least), schema), "blocks")
+    strings = materialize(texts(blocks).mapInArrow(_windows(least), schema), "suffix-strings")
+    at = ["doc_id", "th", "first", "count"]
+    twice = strings.where("n > 0").groupBy("key", "digest").agg(F.sum("n").alias("total")).where("total > 1").select("key", "digest")
+    last = strings.where("n = 1").join(twice, ["key", "digest"], "left_semi").select(at)
+    return known.unionByName(more).unionByName(strings.where("n = 0").select(at)).unionByName(last)
 
 
 def _cut(least: int, digest: bool) -> Callable:
