@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q02_packing, q04_bpe, q05_simhash, q06_quality, q08_suffix, q09_sharding
+from . import q02_packing, q04_bpe, q05_simhash, q06_quality, q08_suffix, q09_sharding, q10_secrets
 
-_MODULES = (q02_packing, q04_bpe, q05_simhash, q06_quality, q08_suffix, q09_sharding)
+_MODULES = (q02_packing, q04_bpe, q05_simhash, q06_quality, q08_suffix, q09_sharding, q10_secrets)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
