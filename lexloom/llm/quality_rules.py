@@ -37,7 +37,8 @@ def features(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = (
     """carry columns, stratum, the base counts and the rules' features of each row; a null text counts as empty.
 
     Columns named in carry may be any of docs but must not have the names of results. The arrays are made in
-    steps, and each is used more than once, so that the optimiser does not merge the steps and make them again for every element.
+    steps, and each is used more than once, so that the optimiser does not merge the steps and make them again for every element. Filter the
+    result only after it is written, or by judge().
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if stratum is None else stratum
@@ -122,9 +123,8 @@ def judge(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     if cuts.count() <= BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
     joined = rows.join(cuts, rows["stratum"] == cuts["cut_stratum"], "left")
-    rejected = F.col("base_failed")
-    for rule in RULES:
-        rejected = rejected | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
+    # one expression, so that no part of it is pushed below the steps of features(), which would make their arrays again for each element
+    rejected = F.greatest(F.col("base_failed"), *(F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False)) for rule in RULES))
     return joined.withColumn("kept", ~rejected).drop("cut_stratum", *(f"cut_{rule}" for rule in RULES))
 
 
@@ -154,6 +154,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
 
     The features are computed twice, for the cutoffs and for the verdict: that moves no text, while a join of the verdict would.
     """
-    cuts = calibrate(features(docs), labels, risk, error)
+    cuts = calibrate(materialize(features(docs), "quality-features"), labels, risk, error)
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
     return judge(features(packed, carry=("_row",)), cuts).where("kept").select("_row.*")

@@ -7,6 +7,7 @@ in the table of that half finds every such pair; the complete distance is then v
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +25,42 @@ HOT_KEY_ROWS = 8192
 TILE_ROWS = 4096
 
 
-def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles (A-Z lower-cased); 0 without words.
+def shingle_digests(text: bytes | None, words_per_shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's word shingles (A-Z lower-cased), repeats included, some at a time.
 
-    A bit is 1 if it is set in more than half of the shingles' XXH64 values, repeats included. Fewer words
-    than a shingle takes are one shingle. None counts as empty.
+    Fewer words than a shingle takes are one shingle; without words there is none. None counts as empty.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(1, len(words) - words_per_shingle + 1)
+    h = xxhash.xxh64_intdigest
     if n == 1:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield np.array([h(joined, seed)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[words_per_shingle - 1 :] - 1).tolist()
-    h = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        digests = np.array([h(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], dtype=np.uint64)
-        counts += np.unpackbits(digests.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        yield np.array([h(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], dtype=np.uint64)
+
+
+def _majority(digests: Iterator[np.ndarray], words: int) -> list[int]:
+    """A bit is 1 if it is set in more than half of the digests; words after the first are of the digests mixed anew."""
+    counts, n = np.zeros((words, 64), np.int64), 0
+    for d in digests:
+        n += len(d)
+        for k in range(words):
+            if k:
+                d = (d ^ (d >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                d ^= d >> np.uint64(29)
+            counts[k] += np.unpackbits(d.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(c * 2 > n).tobytes(), "big") for c in counts]
+
+
+def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles; 0 without words."""
+    return _majority(shingle_digests(text, words_per_shingle, seed), 1)[0]
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,3 +169,113 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = 3, most: int = 3, s
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+# ---------------------------------------------------------------- by similarity
+
+#: Words of a wide fingerprint, and bits of its segments (three in a word).
+WIDE, SEGMENT_BITS = 4, 21
+#: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
+BROADCAST_ROWS = 1_000_000
+
+
+def most_bits(similarity: float) -> int:
+    """The bits of a wide fingerprint that two texts differ in, on average, at this Jaccard similarity of their shingles."""
+    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * WIDE)
+
+
+def wide_links(each: DataFrame, most: int) -> DataFrame:
+    """(u, v): links between fingerprints (uid, f: array of WIDE longs) at most `most` bits apart.
+
+    Twelve segments with balls of radius 1 find all pairs up to 23 bits apart, and those beyond with a chance that falls slowly: of
+    pairs 33 bits apart (a similarity of 0.85) 95 in a hundred are found. The complete distance is verified.
+    """
+    mask = (1 << SEGMENT_BITS) - 1
+    parts = [F.struct(F.lit(3 * w + k).cast("long").alias("seg"), F.shiftrightunsigned(F.get("f", w), SEGMENT_BITS * k).bitwiseAND(F.lit(mask)).alias("part")) for w in range(WIDE) for k in range(3)]
+    own = each.select("uid", F.inline(F.array(*parts)))
+    tag = F.shiftleft("seg", 32)
+    flips = F.filter(F.expr(f"transform(sequence(0, {SEGMENT_BITS - 1}), i -> shiftleft(1L, i))"), lambda bit: F.col("part").bitwiseAND(bit) == 0)
+    keys = own.select("uid", tag.bitwiseOR(F.col("part")).alias("key"), F.lit(True).alias("exact"))
+    balls = own.select("uid", "seg", "part", F.explode(flips).alias("bit")).select("uid", tag.bitwiseOR(F.col("part")).bitwiseOR(F.col("bit")).alias("key"), F.lit(False).alias("exact"))
+    balls = balls.join(keys.select("key").distinct(), "key", "left_semi").select("uid", "key", "exact")
+    rows = materialize(keys.unionByName(balls), "simhash-wide-keys")
+    crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("m")).where("n > 1 and m > 0")
+    rows = rows.join(crowd, "key")
+    k = F.ceil(F.col("n") / TILE_ROWS).cast("long")
+    # crowded keys are cut into tiles, each pair of which is a group
+    rows = rows.select("uid", "key", "exact", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
+    rows = rows.select("uid", "key", "exact", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    rows = rows.select("uid", "key", "exact", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile"))
+    rows = rows.join(each, "uid").withColumn("bucket", F.pmod(F.xxhash64("key", "tile"), F.lit(_buckets(each))))
+    return rows.groupBy("bucket").applyInPandas(_wide_runs(most), "u long, v long")
+
+
+def _wide_runs(most: int):
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        key, tile, uid, exact = (rows[c].to_numpy() for c in ("key", "tile", "uid", "exact"))
+        f = np.stack(rows["f"].to_numpy()).astype(np.int64).view(np.uint64)
+        order = np.lexsort((uid, ~exact, tile, key))
+        key, tile, uid, exact, f = key[order], tile[order], uid[order], exact[order], f[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+        size = np.diff(np.r_[first, len(key)])
+        a = b = np.empty(0, np.int64)
+        new_a, new_b, held = [], [], 0
+        for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+            m = int(exact[at : at + n].sum())
+            step = max(1, (1 << 18) // n)
+            for i in range(at, at + m, step):
+                top = min(i + step, at + m)
+                near = np.bitwise_count(f[i:top, None, :] ^ f[None, at : at + n, :]).sum(2) <= most
+                r, c = np.nonzero(near)
+                keep = uid[i + r] != uid[at + c]
+                if keep.any():
+                    new_a.append(uid[i + r[keep]])
+                    new_b.append(uid[at + c[keep]])
+                    held += int(keep.sum())
+                if held > 1 << 20:
+                    a, b = forest(np.concatenate([a, *new_a]), np.concatenate([b, *new_b]))
+                    new_a, new_b, held = [], [], 0
+        a, b = forest(np.concatenate([a, *new_a]), np.concatenate([b, *new_b]))
+        return pd.DataFrame({"u": a, "v": b})
+
+    return verify
+
+
+def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.85, seed: int = 42) -> DataFrame:
+    """(doc_id, th, class): th is the XXH64 of the text; rows of a class are linked by texts whose wide fingerprints say that
+    the Jaccard similarity of their shingles is at least `similarity`."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([_majority(shingle_digests(x, words_per_shingle, seed), WIDE) for x in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.int64()))], ["doc_id", "th", "f"])
+
+    text = F.col("text").cast("string")
+    fps = materialize(docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, f array<bigint>"), "simhash-wide")
+    each = materialize(fps.select("f").distinct().withColumn("uid", F.monotonically_increasing_id()), "simhash-wide-each")
+    links = connected_components(wide_links(each, most_bits(similarity)), "simhash-wide")
+    named = each.join(links, each["uid"] == links["node"], "left").select(F.col("f").alias("_f"), F.coalesce("component", "uid").alias("class"))
+    named = materialize(named, "simhash-wide-class")
+    return fps.join(named, fps["f"] == named["_f"]).select("doc_id", "th", "class")
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.85, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest (doc_id, text hash), nulls last; all columns stay.
+
+    Of equal rows one stays. Texts that are null, or without words, are one group. Texts are not shuffled unless very many rows go.
+    """
+    groups = materialize(similar_groups(docs, words_per_shingle, similarity, seed), "simhash-groups")
+    rank = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th")
+    first = groups.groupBy("class").agg(F.min(rank).alias("first"))
+    each = groups.groupBy("class", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    each = materialize(each.join(first, "class").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "n", (rank == F.col("first")).alias("stays")).where("n > 1 or not stays"), "simhash-gone")
+    gone, twice = each.select("g_id", "g_th"), each.where("stays").select("g_id", "g_th")
+    if each.count() <= BROADCAST_ROWS:
+        gone, twice = F.broadcast(gone), F.broadcast(twice)
+    th = F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (th == F.col("g_th"))
+    rest = docs.join(gone, same, "left_anti")
+    # of a repeated row that stays, one copy
+    again = docs.join(twice, same, "left_semi").withColumn("_th", th).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return rest.unionByName(again)
