@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, linking, retrieval
+from . import corpus, evaluation, linking, retrieval, rules
 
-_MODULES = (evaluation, corpus, linking, retrieval)
+_MODULES = (evaluation, corpus, linking, retrieval, rules)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
