@@ -6,6 +6,7 @@ dispatcher lower-cases the results and drops empty and repeated ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value bound to a variable, so that what is used often is computed once and stands once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(table: dict, key: Column) -> Column:
     """The value of a key in a small fixed table, null where it has none."""
     entries = [F.lit(x) for pair in table.items() for x in pair]
@@ -47,25 +53,30 @@ def ordinal_word(n: Column) -> Column:
 def number_word_value(text: Column) -> Column:
     """The value of a number in English words: up to three words, or two such parts with "and"; null otherwise."""
 
-    def plain(t: Column) -> Column:
-        w = F.split(F.replace(F.lower(F.trim(t)), F.lit("-"), F.lit(" ")), " ")
-        v = [lookup(L.ENGLISH_NUMBERS, F.get(w, F.lit(i))).cast("long") for i in range(3)]
-        second = F.get(w, F.lit(1))
-        scale = lookup({"hundred": 100, "thousand": 1000, "million": 1000000}, second).cast("long")
+    def values(t: Column) -> Column:
+        """The value of each word, null for others."""
+        return F.transform(F.split(F.replace(F.lower(F.trim(t)), F.lit("-"), F.lit(" ")), " "), lambda w: lookup(L.ENGLISH_NUMBERS, w).cast("long"))
+
+    def total(v: Column) -> Column:
+        a, b, c = (F.get(v, F.lit(i)) for i in range(3))
         return (
-            F.when(F.size(w) == 1, v[0])
-            .when((F.size(w) == 2) & scale.isNotNull(), v[0] * scale)
-            .when(F.size(w) == 2, v[0] + v[1])
-            .when((F.size(w) == 3) & (second == "hundred"), v[0] * 100 + v[2])
-            .when((F.size(w) == 3) & (v[0] < 20), v[0] * 100 + v[1] + v[2])
+            F.when(F.size(v) == 1, a)
+            .when((F.size(v) == 2) & b.isin(100, 1000, 1000000), a * b)
+            .when(F.size(v) == 2, a + b)
+            .when((F.size(v) == 3) & (b == 100), a * 100 + c)
+            .when((F.size(v) == 3) & (a < 20), a * 100 + b + c)
         )
 
-    halves = F.split(text, "and")
-    return F.coalesce(plain(text), F.when(F.size(halves) == 2, plain(halves[0]) + plain(halves[1])))
+    plain = lambda t: let(values(t), total)
+    return let(F.split(text, "and"), lambda h: F.coalesce(plain(F.array_join(h, "and")), F.when(F.size(h) == 2, plain(h[0]) + plain(F.get(h, F.lit(1))))))
 
 
 def spoken_number(n: Column) -> Column:
     """The ways to say an integer in Polish: words below 100, and multiples of thousands, millions and more with their word."""
+    return let(n, _spoken)
+
+
+def _spoken(n: Column) -> Column:
     small = F.coalesce(lookup(L.POLISH_NUMBERS, n.cast("int")), F.concat_ws(" ", lookup(L.POLISH_NUMBERS, (F.floor(n / 10) * 10).cast("int")), lookup(L.POLISH_NUMBERS, (n % 10).cast("int"))))
 
     def scaled(unit: int, name: str) -> Column:
@@ -127,7 +138,10 @@ _SCALE = "thousand|million|billion|bn|b|trillion"
 
 def number_value(text: Column) -> Column:
     """The value of plain digits, digits or words with a scale, or words, as a decimal; null for anything else."""
-    t = replaced(text, ((",", ""), ("a ", ""), ("the ", "")))
+    return let(replaced(text, ((",", ""), ("a ", ""), ("the ", ""))), _value)
+
+
+def _value(t: Column) -> Column:
     plain = F.when(t.rlike(r"^[\d. ]+$"), F.replace(t, F.lit(" "), F.lit("")).try_cast("decimal(30,6)"))
     scale = lookup({k: v for k, v in L.ENGLISH_NUMBERS.items() if v >= 1000}, F.regexp_extract(t, f"({_SCALE})$", 1))
     before = F.rtrim(F.regexp_replace(t, f"({_SCALE})$", ""))
@@ -137,6 +151,10 @@ def number_value(text: Column) -> Column:
 
 def number_forms(value: Column) -> Column:
     """A value with a comma for its point, and an integer also with blanks and in words."""
+    return let(value, _forms)
+
+
+def _forms(value: Column) -> Column:
     whole = value == F.floor(value)
     n = value.try_cast("long")
     plain = F.replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit("."), F.lit(","))
@@ -144,8 +162,10 @@ def number_forms(value: Column) -> Column:
 
 
 def number_answer(text: Column, given: Column) -> Column:
-    value = number_value(text)
-    t = replaced(text, ((",", ""), ("a ", ""), ("the ", "")))
+    return let(replaced(text, ((",", ""), ("a ", ""), ("the ", ""))), lambda t: let(_value(t), lambda value: _number(t, value, given)))
+
+
+def _number(t: Column, value: Column, given: Column) -> Column:
     pair = lambda word, joined: F.when(t.rlike(rf"^\d+ {word} \d+$"), strings(F.concat_ws(f" {joined} ", *(F.regexp_extract(t, rf"^(\d+) {word} (\d+)$", i).cast("long").cast("string") for i in (1, 2)))))
     return F.coalesce(
         F.when(value.isNotNull(), number_forms(value)),
@@ -169,8 +189,10 @@ def split_currency(text: Column) -> Column:
 
 
 def money_answer(text: Column, given: Column) -> Column:
-    parts = split_currency(F.replace(text, F.lit(","), F.lit("")))
-    currency, rest = parts["currency"], parts["rest"]
+    return let(split_currency(F.replace(text, F.lit(","), F.lit(""))), lambda parts: _money(parts["currency"], parts["rest"], given))
+
+
+def _money(currency: Column, rest: Column, given: Column) -> Column:
     comma = lambda c: F.replace(c, F.lit("."), F.lit(","))
     trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     with_currency = lambda c: strings(F.rtrim(F.concat_ws(" ", c, currency)), c)
@@ -179,14 +201,14 @@ def money_answer(text: Column, given: Column) -> Column:
     scales = "hundred|thousand|million|m|billion|b|bn|trillion"
     unit = F.regexp_extract(rest, f"({scales})$", 1)
     amount = F.rtrim(F.regexp_replace(rest, f"({scales})$", ""))
-    number = F.coalesce(F.when(amount.rlike(r"^[\d.]+$"), trimmed(amount)), number_word_value(amount).cast("string"))
-    named = F.concat_ws(" ", comma(number), lookup(L.SCALES, unit))
-    return (
-        F.when(rest.rlike(r"^[\d.]+$"), F.array_distinct(F.concat(with_currency(comma(plain)), with_currency(spaced))))
-        .when(rest.rlike(rf"^(\D+|[\d.]+) *({scales})$") & number.isNotNull() & (unit == "hundred"), with_currency((number.try_cast("decimal(20,2)") * 100).cast("decimal(20,0)").cast("string")))
-        .when(rest.rlike(rf"^(\D+|[\d.]+) *({scales})$") & number.isNotNull(), with_currency(named))
-        .when(rest == "ten", F.array(F.lit("10"), F.lit("dziesięć")))
-        .otherwise(strings(given))
+    number = let(amount, lambda a: F.coalesce(F.when(a.rlike(r"^[\d.]+$"), trimmed(a)), number_word_value(a).cast("string")))
+    hundreds = lambda n: (n.try_cast("decimal(20,2)") * 100).cast("decimal(20,0)").cast("string")
+    scaled = let(number, lambda n: F.when(n.isNotNull(), let(F.when(unit == "hundred", hundreds(n)).otherwise(F.concat_ws(" ", comma(n), lookup(L.SCALES, unit))), with_currency)))
+    return F.coalesce(
+        F.when(rest.rlike(r"^[\d.]+$"), F.array_distinct(F.concat(with_currency(comma(plain)), with_currency(spaced)))),
+        F.when(rest.rlike(rf"^(\D+|[\d.]+) *({scales})$"), scaled),
+        F.when(rest == "ten", F.array(F.lit("10"), F.lit("dziesięć"))),
+        strings(given),
     )
 
 
@@ -197,10 +219,15 @@ def date_word(word: Column, of_date: bool = False) -> Column:
 
 def date_answer(text: Column, given: Column) -> Column:
     """Words and numbers of dates in Polish order. Where a word has no translation the supplied one stands alone."""
-    given = F.regexp_replace(F.lower(F.replace(given, F.lit(","), F.lit(""))), r"(\d{1,4}) r$", "$1")
+    plain = F.regexp_replace(F.lower(F.replace(given, F.lit(","), F.lit(""))), r"(\d{1,4}) r$", "$1")
+    return let(plain, lambda g: let(replaced(F.lower(F.replace(text, F.lit(","), F.lit(""))), L.DATE_PHRASES), lambda t: _date(t, g)))
 
+
+def _date(t: Column, given: Column) -> Column:
     def core(t: Column) -> Column:
-        w = F.split(t, " ")
+        return let(t, lambda x: let(F.split(x, " "), lambda w: of(x, w)))
+
+    def of(t: Column, w: Column) -> Column:
         a, b, c = (F.get(w, F.lit(i)) for i in range(3))
         said = lambda *parts: F.when(F.forall(F.array(*parts), lambda x: x.isNotNull()), F.concat_ws(" ", *parts))
         century = F.coalesce(F.regexp_extract(t, r"^(\d+)(st|nd|rd|th) century$", 1).try_cast("int"), lookup({x: i for i, x in enumerate(L.ENGLISH_ORDINALS, 1)}, F.regexp_extract(t, r"^(\w+) century$", 1)))
@@ -223,10 +250,10 @@ def date_answer(text: Column, given: Column) -> Column:
             strings(given),
         )
 
-    t = replaced(F.lower(F.replace(text, F.lit(","), F.lit(""))), L.DATE_PHRASES)
-    inner = core(F.regexp_replace(t, "^in ", ""))
     start = F.split_part(given, F.lit(" "), F.lit(1))
-    return F.when(t.rlike(r"^in [\w ]+$"), F.array_distinct(F.concat(inner, F.transform(inner, lambda x: F.concat_ws(" ", start, x)), F.array(given)))).otherwise(core(t))
+    with_in = t.rlike(r"^in [\w ]+$")
+    found = core(F.when(with_in, F.substring(t, 4, 1_000_000)).otherwise(t))
+    return let(found, lambda inner: F.when(with_in, F.array_distinct(F.concat(inner, F.transform(inner, lambda x: F.concat_ws(" ", start, x)), F.array(given)))).otherwise(inner))
 
 
 def titled_answer(text: Column, given: Column, title: Column, articles=("the ", "a ", "an "), clean: bool = False) -> Column:
