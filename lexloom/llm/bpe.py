@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Fixed values of the pattern: the endings that an apostrophe forms a token with.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -168,7 +170,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, slice_start array<bigint>, slice_ids array<bigint>")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(frugal(run), f"doc_id {kind}, ids array<int>, slice_start array<bigint>, slice_ids array<bigint>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -180,7 +182,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or ()) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text binary").withColumn("text", F.col("text").cast("string"))
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), f"doc_id {kind}, text binary").withColumn("text", F.col("text").cast("string"))
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,4 +200,4 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 from .graph import connected_components, forest
 
 #: Rows of one key beyond which its comparisons are dealt to several tasks as tiles.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(frugal(run), f"doc_id {kind}, fp long")
 
 
 def _linked(table: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.int64()))], ["doc_id", "th", "f"])
 
     text = F.col("text").cast("string")
-    fps = materialize(docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, th long, f array<bigint>"), "simhash-wide")
+    fps = materialize(docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, th long, f array<bigint>"), "simhash-wide")
     each = materialize(fps.select("f").distinct().withColumn("uid", F.monotonically_increasing_id()), "simhash-wide-each")
     links = connected_components(wide_links(each, most_bits(similarity)), "simhash-wide")
     named = each.join(links, each["uid"] == links["node"], "left").select(F.col("f").alias("_f"), F.coalesce("component", "uid").alias("class"))

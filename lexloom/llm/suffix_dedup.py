@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 
 LEAST = 200
 QGRAM = 16
@@ -142,7 +142,7 @@ def _phrases(least: int, reach: int) -> Callable:
                 row, first, count, trigger = map(np.concatenate, (row, first, count, trigger))
                 yield from _collapse(batch, row, _long(key), _long(digest), np.ones(len(row), np.int64), first, count, trigger - first)
 
-    return run
+    return frugal(run)
 
 
 def _blocks(least: int) -> Callable:
@@ -170,7 +170,7 @@ def _blocks(least: int) -> Callable:
                 row, n, first, count = (np.array(x, np.int64) for x in (row, n, first, count))
                 yield from _collapse(batch, row, _long(key), _long(digest), n, first, count, np.zeros(len(row), np.int64))
 
-    return run
+    return frugal(run)
 
 
 def _windows(least: int) -> Callable:
@@ -209,7 +209,7 @@ def _windows(least: int) -> Callable:
             if held:
                 yield from classes(batch, held)
 
-    return run
+    return frugal(run)
 
 
 def spans_of(first: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +283,7 @@ def _cut(least: int, digest: bool) -> Callable:
             spans = pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *spans, pa.array(kept, pa.string()), *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "span_start", "span_end", "kept", *batch.schema.names[3:]])
 
-    return run
+    return frugal(run)
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, reach: int = REACH, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
