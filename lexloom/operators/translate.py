@@ -229,7 +229,8 @@ def _date(t: Column, given: Column) -> Column:
 
     def of(t: Column, w: Column) -> Column:
         a, b, c = (F.get(w, F.lit(i)) for i in range(3))
-        said = lambda *parts: F.when(F.forall(F.array(*parts), lambda x: x.isNotNull()), F.concat_ws(" ", *parts))
+        # a word without a translation leaves the answer to what comes later
+        said = lambda *parts: F.when(F.forall(F.array(*parts), lambda x: x.isNotNull()), strings(F.concat_ws(" ", *parts), given))
         century = F.coalesce(F.regexp_extract(t, r"^(\d+)(st|nd|rd|th) century$", 1).try_cast("int"), lookup({x: i for i, x in enumerate(L.ENGLISH_ORDINALS, 1)}, F.regexp_extract(t, r"^(\w+) century$", 1)))
         both = F.split(t, "[–-]")
         return F.coalesce(
@@ -238,13 +239,13 @@ def _date(t: Column, given: Column) -> Column:
             F.when(t.rlike(r"^\d+(st|nd|rd|th)$"), strings(F.regexp_extract(t, r"^(\d+)", 1).cast("int").cast("string"))),
             F.when(t.rlike(r"^[^\d ]+[–-][^\d ]+$"), strings(F.concat_ws("-", date_word(both[0]), date_word(F.get(both, F.lit(1)))))),
             F.when(~t.contains(" "), strings(t)),
-            F.when(t.rlike(r"^\d+ \D+ \d+$") & (F.size(w) == 3), strings(said(a, date_word(b, True), c), given)),
-            F.when(t.rlike(r"^\D+ \d+ \d+$") & (F.size(w) == 3), strings(said(b, date_word(a, True), c), given)),
-            F.when(t.rlike(r"^\d+ \D+$") & (F.size(w) == 2), strings(said(a, date_word(b, True)), given)),
-            F.when(t.rlike(r"^\D+ \d+$") & (F.size(w) == 2) & (b.try_cast("int") > 31), strings(said(date_word(a), b), given)),
-            F.when(t.rlike(r"^\D+ \d+$") & (F.size(w) == 2), strings(said(b, date_word(a, True)), given)),
+            F.when(t.rlike(r"^\d+ \D+ \d+$") & (F.size(w) == 3), said(a, date_word(b, True), c)),
+            F.when(t.rlike(r"^\D+ \d+ \d+$") & (F.size(w) == 3), said(b, date_word(a, True), c)),
+            F.when(t.rlike(r"^\d+ \D+$") & (F.size(w) == 2), said(a, date_word(b, True))),
+            F.when(t.rlike(r"^\D+ \d+$") & (F.size(w) == 2) & (b.try_cast("int") > 31), said(date_word(a), b)),
+            F.when(t.rlike(r"^\D+ \d+$") & (F.size(w) == 2), said(b, date_word(a, True))),
             F.when(century.isNotNull(), strings(F.concat(roman_numeral(century), F.lit(" wiek")))),
-            F.when(t.rlike(r"^\w+ to \w+$"), strings(said(date_word(a), F.lit("do"), date_word(c)), given)),
+            F.when(t.rlike(r"^\w+ to \w+$"), said(date_word(a), F.lit("do"), date_word(c))),
             F.when(t.rlike(r"^\d+ or \d+$"), strings(F.regexp_replace(t, r"^(\d+) or (\d+)$", "$1 lub $2"))),
             F.when(t.rlike(r"^\d+ until \d+$"), strings(F.regexp_replace(t, r"^(\d+) until (\d+)$", "$1 do $2"))),
             strings(given),
