@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, ingest, linking, retrieval, rules
+from . import corpus, dataset, evaluation, ingest, linking, retrieval, rules
 
-_MODULES = (evaluation, corpus, linking, retrieval, rules, ingest)
+_MODULES = (evaluation, corpus, linking, retrieval, rules, ingest, dataset)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
