@@ -127,3 +127,36 @@ def nth_position(hay: Column, needle: Column, n: Column) -> Column:
     parts = F.split(hay, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")))
     gone = F.aggregate(F.slice(parts, F.lit(1), n + 1), F.lit(0), lambda acc, x: acc + F.char_length(x)) + n * F.char_length(needle)
     return F.when(F.size(parts) > n + 1, gone).otherwise(F.lit(-1))
+
+
+# Marks that tokenizers set apart, in this order, and spellings that they part.
+TIGHT_MARKS = (",", ".", ":", ";", "'", "-", "‐", "−", "–", "%", "’", "°", "(", ")", "/", "„", "”", "+")
+REPAIRS = (
+    ("° C", "°C"), ("/ t /", "/t/"), ("AC / DC", "AC/DC"), ("km / h", "km/h"), ("720 p", "720p"), ("HIV / AIDS", "HIV/AIDS"),
+)
+
+
+def detokenized(answer: Column, original: Column, marks: tuple[str, ...] = TIGHT_MARKS, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> Column:
+    """The answer without blanks before and after marks (in their order) where the original has none, and with repaired spellings."""
+    out = answer
+    for m in marks:
+        out = F.when(~original.contains(f" {m}"), F.replace(out, F.lit(f" {m}"), F.lit(m))).otherwise(out)
+        out = F.when(~original.contains(f"{m} "), F.replace(out, F.lit(f"{m} "), F.lit(m))).otherwise(out)
+    out = F.when(F.lower(answer) != F.lower(original), F.replace(out, F.lit(" s "), F.lit("s "))).otherwise(answer)
+    for a, b in repairs:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def is_letters(word: Column) -> Column:
+    return word.rlike("^[A-Za-z ]+$")
+
+
+def is_roman(word: Column) -> Column:
+    return word.rlike("^[IVXLCDM]+$")
+
+
+def entity_map(entities: Column) -> Column:
+    """The map of an array of (text, label); of a repeated text the last label."""
+    texts = F.array_distinct(F.transform(entities, lambda e: e["text"]))
+    return F.map_from_entries(F.transform(texts, lambda t: F.struct(t, F.element_at(F.filter(entities, lambda e: e["text"] == t), -1)["label"])))

@@ -66,3 +66,28 @@ def page_vectors(graph: DataFrame, size: int = 100, seed: int = 1):
 def title_collisions(titles: DataFrame, normal: str = "normal") -> DataFrame:
     """(normal, titles): normalised titles that several titles share."""
     return titles.groupBy(normal).agg(F.array_sort(F.collect_set("title")).alias("titles")).where(F.size("titles") > 1)
+
+
+def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst) of links (src, dst_title) whose source is a page and whose target's title one is (page_id, title)."""
+    known = links.join(pages.select(F.col("page_id").alias("_p")), F.col("src") == F.col("_p"), "left_semi")
+    return edges(known.join(pages.select(F.col("page_id").alias("dst"), F.col("title").alias("_t")), F.col("dst_title") == F.col("_t")).select("src", "dst"))
+
+
+def related_pages(pages: DataFrame, similar: DataFrame, depth: int) -> DataFrame:
+    """(page_id, other_page_id, rank): the page itself (depth 0), or its similar pages (page_id, sim_page_id, rank) (depth 1)."""
+    if depth == 0:
+        return pages.select("page_id", F.col("page_id").alias("other_page_id"), F.lit(0).alias("rank")).distinct()
+    if depth == 1:
+        return pages.select("page_id").distinct().join(similar, "page_id").select("page_id", F.col("sim_page_id").alias("other_page_id"), "rank")
+    raise ValueError("depth is 0 or 1")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right joined by a key that neither may repeat; a repeated key fails the job that reads it."""
+
+    def single(df: DataFrame) -> DataFrame:
+        n = F.count(F.lit(1)).over(Window.partitionBy(key))
+        return df.withColumn("_n", n).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string"))))).drop("_n")
+
+    return single(left).join(single(right), key)

@@ -343,3 +343,36 @@ def request_batches(rows: DataFrame, limit: int) -> DataFrame:
 
     grouped_rows = rows.select("group_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("size").cast("long").alias("size")).groupBy("group_id").agg(F.aggregate(items, zero, add, lambda acc: acc["out"]).alias("_b"))
     return grouped_rows.select("group_id", F.inline("_b"))
+
+
+def translated_questions(answers: DataFrame, questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, question, answer, en_answer, ner): a row for each translation of answers (qid, en_answer, translations) whose question (qid, question) is known and of valid form."""
+    from ..functions.text import is_valid_question
+
+    rows = answers.where(F.size("translations") > 0).join(questions.where(is_valid_question(F.col("question"))), "qid").join(entities, ["qid", "en_answer"], "left")
+    return rows.select("qid", "question", F.explode("translations").alias("answer"), "en_answer", "ner")
+
+
+def annotated_answers(articles: DataFrame) -> DataFrame:
+    """(qid, answer, tokens, entities, context_tokens, context_entities) of annotated articles; the context's sentences are one sequence."""
+    flat = lambda doc, field: F.flatten(F.transform(doc["sentence"], lambda s: F.transform(s["token"], lambda t: t[field])))
+    rows = articles.select(F.explode("paragraphs").alias("p")).select("p.context", F.explode("p.qas").alias("q")).select("context", "q.id", F.explode("q.answers").alias("a"))
+    a, c = F.col("a"), F.col("context")
+    return rows.where(F.size("a.sentence") > 0).select(F.col("id").alias("qid"), F.col("a.text").alias("answer"), flat(a, "word").alias("tokens"), flat(a, "ner").alias("entities"), flat(c, "word").alias("context_tokens"), flat(c, "ner").alias("context_entities"))
+
+
+def entity_in_context(tokens: Column, entities: Column, context_tokens: Column, context_entities: Column) -> Column:
+    """The type of an answer; if its last occurrence in the context has one label other than O, that one."""
+    from ..functions.arrays import last_sublist_position
+
+    def of(at: Column) -> Column:
+        kinds = F.array_distinct(F.slice(context_entities, at + 1, F.size(tokens)))
+        return F.when((at >= 0) & (F.size(kinds) == 1) & (kinds[0] != "O"), kinds[0]).otherwise(entity_of(tokens, entities))
+
+    return let(last_sublist_position(tokens, context_tokens), of)
+
+
+def with_known(rows: DataFrame) -> DataFrame:
+    """rows (answer, ner, ordinal) whose composite label is replaced by the last plain one of the same answer, where there is one."""
+    known = last_known(rows).select(F.col("answer").alias("_k"), F.col("ner").alias("_known"))
+    return rows.join(known, F.col("answer") == F.col("_k"), "left").withColumn("ner", F.when(F.col("ner").contains("|"), F.coalesce("_known", "ner")).otherwise(F.col("ner"))).drop("_k", "_known")

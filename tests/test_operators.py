@@ -211,3 +211,60 @@ def test_resume(spark, tmp_path):
         stream = spark.readStream.schema("text string, n int").parquet(source)
         incremental.resume(stream, out, "text", work, str(tmp_path / f"check{len(seen)}")).awaitTermination()
     assert seen == [2, 0] and spark.read.parquet(out).count() == 2
+
+
+def test_noun_rules(spark):
+    schema = "question string, answer string, answer_start int, answer_ne string, q_tokens array<string>, q_lemmas array<string>, q_poss array<string>, next_word string, next_lemma string, next_pos string, answer_words array<struct<text:string,lemma:string,pos:string>>, similarity double"
+    rows = [
+        ("Ile osób", "12", 3, "NUMBER", ["Ile", "osób"], ["ile", "osoba"], ["X", "NOUN"], "osób", "osoba", "NOUN", [], -1.0),
+        ("Jaki port", "port morski", 5, "OTHER", ["Jaki", "port"], ["jaki", "port"], ["DET", "NOUN"], None, None, None, [("port", "port", "NOUN"), ("morski", "morski", "ADJ")], -1.0),
+    ]
+    found = augment.extended(spark.createDataFrame(rows, schema), augment.noun_rules()).where("extended").collect()
+    assert {(r.question, r.answer, r.answer_start) for r in found} == {("Ile osób", "12 osób", 3), ("Jaki port", "morski", 10), ("Który port", "port morski", 5)}
+
+
+def test_more_links(spark):
+    pages = spark.createDataFrame([(1, "a"), (2, "b")], "page_id long, title string")
+    links = spark.createDataFrame([(1, "b"), (1, "b"), (1, "zz"), (9, "a"), (2, "b")], "src long, dst_title string")
+    assert [tuple(r) for r in link.resolve_links(links, pages).collect()] == [(1, 2)]
+    assert link.related_pages(pages, None, 0).count() == 2
+    with pytest.raises(ValueError):
+        link.related_pages(pages, None, 2)
+    assert link.one_to_one(pages, pages.select("page_id", F.lit(1).alias("x")), "page_id").count() == 2
+    with pytest.raises(Exception, match="repeated key"):
+        link.one_to_one(pages.union(pages), pages.select("page_id", F.lit(1).alias("x")), "page_id").collect()
+
+
+def test_annotated(spark):
+    doc = lambda *words: {"text": " ".join(w for w, _ in words), "sentence": [{"token": [{"word": w, "pos": None, "originalText": w, "ner": n, "lemma": None} for w, n in words]}] if words else []}
+    from lexloom.sources.schemas import ARTICLE
+
+    article = {"title": "T", "paragraphs": [{"context": doc(("In", "O"), ("Paris", "LOCATION")), "qas": [{"id": "1", "question": doc(("q", "O")), "answers": [doc(("Paris", "O")), doc()], "answerOffsets": [3, 0]}]}]}
+    rows = T.annotated_answers(spark.createDataFrame([article], ARTICLE))
+    found = rows.select("qid", "answer", T.entity_in_context(F.col("tokens"), F.col("entities"), F.col("context_tokens"), F.col("context_entities")).alias("ner")).collect()
+    assert [tuple(r) for r in found] == [("1", "Paris", "LOCATION")]
+    known = spark.createDataFrame([("x", "A", 1), ("x", "O|B", 2), ("y", "O|B", 3)], "answer string, ner string, ordinal int")
+    assert sorted((r.ordinal, r.ner) for r in T.with_known(known).collect()) == [(1, "A"), (2, "A"), (3, "O|B")]
+
+
+def test_detokenized(spark):
+    from lexloom.functions import text
+
+    rows = spark.createDataFrame([("a , b", "a, b"), ("lata 80 s temu", "lata 80s temu"), ("( x )", "(x)"), ("same , one", "same , one")], "a string, o string")
+    got = [r.x for r in rows.select(text.detokenized(F.col("a"), F.col("o"), (",", "(", ")")).alias("x")).collect()]
+    assert got == ["a, b", "lata 80s temu", "(x)", "same , one"]
+    m = spark.createDataFrame([([("a", "X"), ("b", "Y"), ("a", "Z")],)], "e array<struct<text:string,label:string>>").select(text.entity_map(F.col("e")).alias("m")).first().m
+    assert m == {"a": "Z", "b": "Y"}
+
+
+def test_composites(spark):
+    from lexloom.operators import dataset
+
+    texts = spark.createDataFrame([("g", 1, "one"), ("g", 2, "two"), ("g", 3, "one")], "group_id string, ordinal long, text string")
+    done = spark.createDataFrame([("two",)], "text string")
+    assert [r.text for r in dataset.work_off(texts, done, lambda df: df, 3).collect()] == ["one"]
+    assert sorted(r.text for r in dataset.shuffled(texts, 3).collect()) == ["one", "one", "two"]
+    answers = spark.createDataFrame([("1", "a", ["x", "y"]), ("2", "b", [])], "qid string, en_answer string, translations array<string>")
+    questions = spark.createDataFrame([("1", "Kto to jest?"), ("2", "Kto to jest?")], "qid string, question string")
+    ner = spark.createDataFrame([("1", "a", "O")], "qid string, en_answer string, ner string")
+    assert {(r.answer, r.ner) for r in T.translated_questions(answers, questions, ner).collect()} == {("x", "O"), ("y", "O")}
