@@ -273,9 +273,9 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.
     gone, twice = each.select("g_id", "g_th"), each.where("stays").select("g_id", "g_th")
     if each.count() <= BROADCAST_ROWS:
         gone, twice = F.broadcast(gone), F.broadcast(twice)
-    th = F.xxhash64(F.col("text").cast("string"))
-    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (th == F.col("g_th"))
-    rest = docs.join(gone, same, "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    same = F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_th") == F.col("g_th"))
+    rest = rows.join(gone, same, "left_anti")
     # of a repeated row that stays, one copy
-    again = docs.join(twice, same, "left_semi").withColumn("_th", th).dropDuplicates(["doc_id", "_th"]).drop("_th")
-    return rest.unionByName(again)
+    again = rows.join(twice, same, "left_semi").dropDuplicates(["_id", "_th"])
+    return rest.unionByName(again).select("_row.*")

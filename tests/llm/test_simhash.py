@@ -109,7 +109,7 @@ def test_keep_one(spark):
             docs.append((group * 10 + k, " ".join(own), "en"))
         n += 1
     docs += [(5000, docs[0][1], "en"), (None, docs[0][1], "en"), (5001, None, "en"), (5002, "", "de"), docs[4], docs[4]]
-    df = spark.createDataFrame(docs, "doc_id long, text string, th string").repartition(6)
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, th string, g_id int, g_th int").repartition(6)
     kept = S.keep_one(df)
     assert kept.columns == df.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}

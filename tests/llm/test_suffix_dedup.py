@@ -48,6 +48,8 @@ def test_brute_force(spark, least, reach, alphabet):
 
 
 def test_edges(spark):
+    odd = spark.createDataFrame([(1, "a" * 250, 5, 6)], "doc_id long, text string, th int, runs int")
+    assert [r.in_th + r.in_runs + r.n_removed for r in S.remove_repeats(odd).collect()] == [261]
     schema = "doc_id long, text string, kept int, lang string"
     assert S.remove_repeats(spark.createDataFrame([], schema)).count() == 0
     rows = S.remove_repeats(spark.createDataFrame([(None, "q" * 300, 1, "en"), (7, None, 2, None), (7, "only once " + "z" * 10, 3, "de"), (8, "r" + "s" * 100, 4, "fr")] * 2, schema)).collect()
