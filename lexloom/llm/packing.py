@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import frugal, materialize, partitions
 
 WINDOW = 4096
-#: Words in a worker's cache.
-CACHE_WORDS = 1_200_000
+#: Words in each of the two generations of a worker's cache, and words encoded as one text.
+CACHE_WORDS, GROUP_WORDS = 300_000, 128
 #: ASCII marks that end a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Combinations enumerated of each depth, and rounds of the solver.
@@ -51,22 +51,46 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = int(end_id).to_bytes(4, "little")
         self.cache: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, words: list[bytes]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)):
-            self.cache[word] = array("I", got.ids).tobytes()
+        """Words of letters alone are one pre-token each, so that many are encoded as one text and parted at the ends of words."""
+        cache = self.cache
+        texts = [w.decode("utf-8") for w in words]
+        plain = [(w, t) for w, t in zip(words, texts) if t.isalpha()]
+        others = [(w, t) for w, t in zip(words, texts) if not t.isalpha()]
+        parts = [plain[i : i + GROUP_WORDS] for i in range(0, len(plain), GROUP_WORDS)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(t for _, t in part) for part in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                cache.update(zip((w for w, _ in part), (raw[x:y] for x, y in zip([0, *ends], ends))))
+            else:
+                others += part
+        for (word, _), got in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
+            cache[word] = array("I", got.ids).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
         """Letters or digits and the marks that end their word are pre-tokens of their own, so only stems are encoded."""
-        cache = self.cache
+        cache, before = self.cache, self.before
         new, whole = {}, set()
         for w in set(words).difference(cache):
+            if (known := before.get(w)) is not None:
+                cache[w] = known
+                continue
             stem = w.rstrip(MARKS)
             if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
                 new[w] = stem
                 whole.update((stem, w[len(stem) :]))
             else:
                 whole.add(w)
+        for w in whole.difference(cache):
+            if (known := before.get(w)) is not None:
+                cache[w] = known
         self._encode(list(whole.difference(cache)))
         for w, stem in new.items():
             cache[w] = cache[stem] + cache[w[len(stem) :]]
@@ -80,7 +104,7 @@ class WordTokenizer:
             self.learn(words)
             found = list(map(self.cache.__getitem__, words))
             if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
+                self.before, self.cache = self.cache, {}  # what is still in use comes back
         found.append(self.end)
         return b"".join(found)
 
@@ -106,7 +130,7 @@ def token_counts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW,
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, crcs array<bigint>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, text_hash long, n long, crcs array<bigint>")
 
 
 def cut_digests(docs: DataFrame, cuts: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +153,7 @@ def cut_digests(docs: DataFrame, cuts: DataFrame, path: str, end_id: int, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "text_hash", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = hit.mapInArrow(run, f"doc_id {kind}, text_hash long, found array<struct<start:bigint,length:bigint,crc:bigint>>").dropDuplicates(["doc_id", "text_hash"])
+    found = hit.mapInArrow(frugal(run), f"doc_id {kind}, text_hash long, found array<struct<start:bigint,length:bigint,crc:bigint>>").dropDuplicates(["doc_id", "text_hash"])
     found = found.select("doc_id", "text_hash", F.inline("found"))
     at = [cuts["doc_id"].eqNullSafe(found["doc_id"]), *(cuts[c] == found[c] for c in ("text_hash", "start", "length"))]
     return cuts.join(found, at).select(*(cuts[c] for c in cuts.columns), found["crc"].alias("ids_crc32"))
