@@ -12,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SPACES = r"[\x20\x09-\x0D]"
 RUN = r"[A-Za-z0-9_+/\-]{12,}={0,2}"
 #: A document without this holds no candidate.
@@ -127,7 +129,8 @@ def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
     """The forest from labelled findings (word, candidate, before, after, label 0 or 1); rows with a null label are left out."""
-    rows = _assembled(with_features(findings.where("label is not null and candidate is not null")))
+    rows = with_features(findings.where("label is not null and candidate is not null")).select(*FEATURES, "label")
+    rows = _assembled(materialize(rows, "secret-findings"))  # each step of the training reads them again
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="_features", labelCol="label").fit(rows)
 
 
