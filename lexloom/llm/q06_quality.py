@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality_rules import quality_rules
+from .quality_rules import ERROR, PRICE, RISK, RULES, quality_rules
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_SHARE = RISK / len(RULES)
+_GRID = " UNION ALL ".join(f"SELECT stratum, '{rule}' AS rule, CAST({cut} AS DOUBLE) AS cutoff, good, {rule} > {cut} AS hit FROM lab" for rule, cuts in RULES.items() for cut in cuts)
+_HITS = " OR ".join(f"coalesce({rule} > (SELECT cutoff FROM best WHERE best.stratum = f.stratum AND best.rule = '{rule}'), false)" for rule in RULES)
+
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_quality_rules": rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g),
+v AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM d, (SELECT unnest(range(0, 8)) AS j) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT doc_id, stratum, len(w) AS n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
+  len(regexp_extract_all(t, '\p{{Lu}}')) AS upper, len(regexp_extract_all(t, '[!?.,;:]')) AS marks, coalesce(v.n, 0) AS n_repeat_words FROM w LEFT JOIN v USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share,
+  word_chars / greatest(n_words, 1) AS chars_per_word, upper / greatest(word_chars, 1) AS capital_share, marks / greatest(n_words, 1) AS marks_per_word FROM b),
+lab AS (SELECT f.*, good FROM f JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+grid AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (hit AND good) AS k, count(*) FILTER (hit AND NOT good) AS t FROM ({_GRID}) GROUP BY ALL),
+adm AS (SELECT *, t - {PRICE} * k AS gain FROM grid WHERE n > 0 AND k <= n * {_SHARE}
+  AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) <= {ERROR} / (SELECT count(*) FROM grid)),
+best AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) AS r FROM adm WHERE gain > 0) WHERE r = 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR {_HITS}) AS kept FROM f
+"""
+}
