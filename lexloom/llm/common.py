@@ -37,7 +37,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # small, and without the direct buffers of other codecs
     return spark.read.schema(df.schema).parquet(path)
 
 

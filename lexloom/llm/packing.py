@@ -115,8 +115,11 @@ def tokenizer(path: str, end_id: int) -> WordTokenizer:
     return WordTokenizer(path, end_id)
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n, crcs): tokens of each row with the end id, and the CRC-32 of each window of them."""
+def token_counts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
+    """(doc_id, text_hash, n, crcs): tokens of each row with the end id, and the CRC-32 of each window of them.
+
+    keep_words: whether a worker keeps the words it has seen for its next task, which saves time and takes some 100 MB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, end_id)
@@ -127,6 +130,9 @@ def token_counts(docs: DataFrame, path: str, end_id: int, window: int = WINDOW,
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "crcs"])
+        if not keep_words:
+            del own
+            tokenizer.cache_clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
@@ -143,8 +149,8 @@ def cut_digests(docs: DataFrame, cuts: DataFrame, path: str, end_id: int, id_col
     hit = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])).select(texts["doc_id"], texts["text_hash"], "slices", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, end_id)
         for batch in batches:
+            own = tokenizer(path, end_id)
             out = []
             for slices, text in zip(batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
                 ids = own.ids(text or b"")
@@ -295,7 +301,7 @@ def _placed(plan: Plan):
     return run
 
 
-def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs is tokenised as it stands (null text: empty, which is the end id alone); repeated rows and repeated or
@@ -303,7 +309,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col:
     numbered from 0 without gaps; only the last one that lies end to end can be shorter than the window.
     """
     spark = docs.sparkSession
-    counted = materialize(token_counts(docs, path, end_id, window, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "pack-counts")
+    counted = materialize(token_counts(docs, path, end_id, window, id_col, text_col, keep_words).withColumn("rid", F.monotonically_increasing_id()), "pack-counts")
     rest = F.col("n") % window
     histogram = np.zeros(window, np.int64)
     for r in counted.where(rest > 0).groupBy(rest.alias("a")).count().collect():  # one row a length, fewer than the window
