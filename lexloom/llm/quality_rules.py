@@ -31,6 +31,8 @@ RISK, ERROR = 0.03, 0.05
 PRICE = 20
 #: Strata up to which the cutoffs are broadcast (some 100 bytes each); a shuffled join beyond it.
 BROADCAST_STRATA = 10_000
+#: Labelled doc_ids up to which they are broadcast (8 bytes each).
+BROADCAST_LABELS = 2_000_000
 
 
 def features(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), stratum: Column | None = None) -> DataFrame:
@@ -152,8 +154,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error:
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows of docs that the verdict keeps, with all their columns.
 
-    The features are computed twice, for the cutoffs and for the verdict: that moves no text, while a join of the verdict would.
+    The features are computed for the cutoffs, of labelled documents, and again for the verdict: that moves no text, while a join of the
+    verdict would.
     """
-    cuts = calibrate(materialize(features(docs), "quality-features"), labels, risk, error)
+    known = materialize(label_of(labels), "quality-labels")
+    labelled = docs
+    if known.count() <= BROADCAST_LABELS:  # beyond it the features of all documents are joined instead of their texts
+        labelled = docs.join(F.broadcast(known.select(F.col("label_id").alias("_label_id"))), F.col("doc_id") == F.col("_label_id"), "left_semi")
+    cuts = calibrate(materialize(features(labelled), "quality-features"), labels, risk, error)
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
     return judge(features(packed, carry=("_row",)), cuts).where("kept").select("_row.*")
