@@ -180,12 +180,15 @@ def _number(t: Column, value: Column, given: Column) -> Column:
 
 def split_currency(text: Column) -> Column:
     """The struct (currency, rest): a currency at the beginning or the end, in the order of the table."""
-    t = F.lower(text)
     table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in L.CURRENCIES.items()))
-    hit = F.get(F.filter(table, lambda c: F.startswith(t, c["k"]) | F.endswith(t, c["k"])), F.lit(0))
-    n = F.char_length(hit["k"])
-    rest = F.when(F.startswith(t, hit["k"]), F.ltrim(F.substring(t, n + 1, F.char_length(t)))).otherwise(F.rtrim(F.substring(t, F.lit(1), F.char_length(t) - n)))
-    return F.struct(F.coalesce(hit["v"], F.lit("")).alias("currency"), F.coalesce(rest, t).alias("rest"))
+
+    def parted(t: Column, hit: Column) -> Column:
+        n = F.char_length(hit["k"])
+        rest = F.when(F.startswith(t, hit["k"]), F.ltrim(F.substring(t, n + 1, F.char_length(t)))).otherwise(F.rtrim(F.substring(t, F.lit(1), F.char_length(t) - n)))
+        return F.struct(F.coalesce(hit["v"], F.lit("")).alias("currency"), F.coalesce(rest, t).alias("rest"))
+
+    first = lambda t: F.get(F.filter(table, lambda c: F.startswith(t, c["k"]) | F.endswith(t, c["k"])), F.lit(0))
+    return let(F.lower(text), lambda t: let(first(t), lambda hit: parted(t, hit)))
 
 
 def money_answer(text: Column, given: Column) -> Column:
