@@ -173,100 +173,131 @@ def fingerprint_hex(fp: str = "fp"):
 
 # ---------------------------------------------------------------- by similarity
 
-#: Words of a wide fingerprint, and bits of its segments, which may lie across two words.
-WIDE, SEGMENT_BITS = 5, 24
+#: Words of a wide fingerprint; bands of minima, and minima of a band.
+WIDE, BANDS, BAND_ROWS = 5, 24, 5
+#: Standard deviations by which a pair's distance may lie above the mean before its shingles are left uncompared.
+SPREAD = 6
+#: Documents whose shingles a worker sends on at a time.
+SET_ROWS = 128
 #: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
 BROADCAST_ROWS = 1_000_000
 
 
 def most_bits(similarity: float) -> int:
-    """The bits of a wide fingerprint that two texts differ in, on average, at this Jaccard similarity of their shingles."""
-    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * WIDE)
+    """The bits of a wide fingerprint that two texts of this Jaccard similarity of their shingles differ in at most, SPREAD standard deviations above the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * WIDE * p + SPREAD * math.sqrt(64 * WIDE * p * (1 - p)))
 
 
-def wide_links(each: DataFrame, most: int) -> DataFrame:
-    """(u, v): links between fingerprints (uid, f: array of WIDE longs) at most `most` bits apart.
+def shingle_set(text: bytes | None, words_per_shingle: int, seed: int) -> np.ndarray:
+    """The sorted distinct digests of the text's shingles."""
+    parts = list(shingle_digests(text, words_per_shingle, seed))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
-    Thirteen segments with balls of radius 1 find all pairs up to 25 bits apart, and those beyond with a chance that falls slowly: of
-    pairs 41 bits apart (a similarity of 0.85) 90 in a hundred are found. The complete distance is verified.
-    """
-    mask = (1 << SEGMENT_BITS) - 1
-    parts = []
-    for k in range(64 * WIDE // SEGMENT_BITS):
-        w, shift = divmod(k * SEGMENT_BITS, 64)
-        bits = F.shiftrightunsigned(F.get("f", F.lit(w)), shift)
-        if shift + SEGMENT_BITS > 64:
-            bits = bits.bitwiseOR(F.shiftleft(F.get("f", F.lit(w + 1)), 64 - shift))
-        parts.append(F.struct(F.lit(k).cast("long").alias("seg"), bits.bitwiseAND(F.lit(mask)).alias("part")))
-    own = each.select("uid", F.inline(F.array(*parts)))
-    tag = F.shiftleft("seg", 32)
-    flips = F.filter(F.expr(f"transform(sequence(0, {SEGMENT_BITS - 1}), i -> shiftleft(1L, i))"), lambda bit: F.col("part").bitwiseAND(bit) == 0)
-    keys = own.select("uid", tag.bitwiseOR(F.col("part")).alias("key"), F.lit(True).alias("exact"))
-    balls = own.select("uid", "seg", "part", F.explode(flips).alias("bit")).select("uid", tag.bitwiseOR(F.col("part")).bitwiseOR(F.col("bit")).alias("key"), F.lit(False).alias("exact"))
-    balls = balls.join(keys.select("key").distinct(), "key", "left_semi").select("uid", "key", "exact")
-    rows = materialize(keys.unionByName(balls), "simhash-wide-keys")
-    crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("m")).where("n > 1 and m > 0")
-    rows = rows.join(crowd, "key")
-    k = F.ceil(F.col("n") / TILE_ROWS).cast("long")
-    # crowded keys are cut into tiles, each pair of which is a group
-    rows = rows.select("uid", "key", "exact", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
-    rows = rows.select("uid", "key", "exact", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-    rows = rows.select("uid", "key", "exact", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile"))
-    rows = rows.join(each, "uid").withColumn("bucket", F.pmod(F.xxhash64("key", "tile"), F.lit(_buckets(each))))
-    return rows.groupBy("bucket").applyInPandas(_wide_runs(most), "u long, v long")
 
+def _bands(digests: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band: sets of Jaccard similarity j share one with a chance of 1 - (1 - j ** BAND_ROWS) ** BANDS."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for i in range(0, len(digests), 2048):
+        least = np.minimum(least, (digests[None, i : i + 2048] * factors[:, None]).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
-def _wide_runs(most: int):
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        key, tile, uid, exact = (rows[c].to_numpy() for c in ("key", "tile", "uid", "exact"))
-        f = np.stack(rows["f"].to_numpy()).astype(np.int64).view(np.uint64)
-        order = np.lexsort((uid, ~exact, tile, key))
-        key, tile, uid, exact, f = key[order], tile[order], uid[order], exact[order], f[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-        size = np.diff(np.r_[first, len(key)])
-        a = b = np.empty(0, np.int64)
-        new_a, new_b, held = [], [], 0
-        for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            m = int(exact[at : at + n].sum())
-            step = max(1, (1 << 18) // n)
-            for i in range(at, at + m, step):
-                top = min(i + step, at + m)
-                near = np.bitwise_count(f[i:top, None, :] ^ f[None, at : at + n, :]).sum(2) <= most
-                r, c = np.nonzero(near)
-                keep = uid[i + r] != uid[at + c]
-                if keep.any():
-                    new_a.append(uid[i + r[keep]])
-                    new_b.append(uid[at + c[keep]])
-                    held += int(keep.sum())
-                if held > 1 << 20:
-                    a, b = forest(np.concatenate([a, *new_a]), np.concatenate([b, *new_b]))
-                    new_a, new_b, held = [], [], 0
-        a, b = forest(np.concatenate([a, *new_a]), np.concatenate([b, *new_b]))
-        return pd.DataFrame({"u": a, "v": b})
 
-    return verify
+def _features(words_per_shingle: int, seed: int):
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, size, wide, bands = [], [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                x = shingle_set(text, words_per_shingle, seed)
+                uid.append(xxhash.xxh3_64_intdigest(x.tobytes()))
+                size.append(len(x))
+                wide.append(_majority((x[i : i + (1 << 16)] for i in range(0, len(x), 1 << 16)), WIDE))
+                bands.append(_bands(x, factors))
+            lists = [pa.array(list(np.array(v, np.uint64).view(np.int64)), pa.list_(pa.int64())) for v in (wide, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(uid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *lists], ["doc_id", "th", "uid", "m", "f", "bands"])
+
+    return run
 
-def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.85, seed: int = 42) -> DataFrame:
-    """(doc_id, th, class): th is the XXH64 of the text; rows of a class are linked by texts whose wide fingerprints say that
-    the Jaccard similarity of their shingles is at least `similarity`."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
+def _sets(words_per_shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([_majority(shingle_digests(x, words_per_shingle, seed), WIDE) for x in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.int64()))], ["doc_id", "th", "f"])
+            for i in range(0, batch.num_rows, SET_ROWS):
+                found = [shingle_set(x, words_per_shingle, seed) for x in batch.column(0).slice(i, SET_ROWS).cast(pa.binary()).to_pylist()]
+                uid = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["uid", "s"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, each: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
+    """Of the pairs (u, v) those whose sets of shingles have at least this Jaccard similarity; the sets are made anew from one text each."""
+    need = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
+    texts = materialize(each.join(need, "uid", "left_semi").select(F.col("th").alias("g_th")), "simhash-compared")
+    if texts.count() <= BROADCAST_ROWS:
+        texts = F.broadcast(texts)
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("_th")).join(texts, F.col("_th") == F.col("g_th"), "left_semi").select("text")
+    sets = rows.mapInArrow(frugal(_sets(words_per_shingle, seed)), "uid long, s array<bigint>").dropDuplicates(["uid"])
+    sets = materialize(sets, "simhash-sets")
+    both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
+    return materialize(both.where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n"))).select("u", "v"), "simhash-alike")
 
+
+def similar_links(each: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
+    """(node, component) of the sets (each: uid, th, m: their size, f, bands) that links of at least this Jaccard similarity connect.
+
+    Sets that share a band are candidates, those with near fingerprints are compared exactly. First each set is compared with one of each of its bands,
+    then all pairs of a band that this hasn't connected, so that a large group of copies isn't compared pair by pair.
+    """
+    # a band that only one set has gives nothing
+    keys = each.select("uid", F.explode("bands").alias("key"))
+    crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("uid", F.xxhash64("key", "uid")).alias("centre")).where("n > 1")
+    rows = materialize(keys.join(crowd, "key"), "simhash-bands")
+    wide = lambda x: each.select(F.col("uid").alias(x), F.col("m").alias(f"m_{x}"), F.col("f").alias(f"f_{x}"))
+    differing = sum((F.bit_count(F.get("f_u", F.lit(i)).bitwiseXOR(F.get("f_v", F.lit(i)))) for i in range(WIDE)), F.lit(0))
+    # the smaller set can't be less than this part of the larger
+    sized = F.least("m_u", "m_v") >= F.lit(similarity) * F.greatest("m_u", "m_v")
+    near = lambda pairs: materialize(pairs.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity))).select("u", "v"), "simhash-pairs")
+
+    ordered = (F.least("uid", "centre").alias("u"), F.greatest("uid", "centre").alias("v"))
+    links = _alike(near(rows.where("uid <> centre").select(*ordered).distinct()), each, docs, words_per_shingle, similarity, seed)
+    joined = materialize(connected_components(links, "simhash-stars"), "simhash-stars")
+    rows = rows.join(joined, rows["uid"] == joined["node"], "left").select("uid", "key", "n", F.coalesce("component", "uid").alias("c"))
+    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    k = F.ceil(F.col("n") / TILE_ROWS).cast("long")
+    # crowded bands are cut into tiles, each pair of which is a group
+    rows = rows.join(split, "key").select("uid", "key", "c", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
+    rows = rows.select("uid", "key", "c", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    rows = materialize(rows.select("uid", "key", "c", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile")), "simhash-tiles")
+    left = rows.select("key", "tile", F.col("uid").alias("u"), F.col("c").alias("c_u"))
+    right = rows.select("key", "tile", F.col("uid").alias("v"), F.col("c").alias("c_v"))
+    rest = near(left.join(right, ["key", "tile"]).where("u < v and c_u <> c_v").select("u", "v").distinct())
+    more = _alike(rest, each, docs, words_per_shingle, similarity, seed)
+    return connected_components(links.unionByName(more), "simhash-wide") if not more.isEmpty() else joined
+
+
+def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, th, class): th is the XXH64 of the text; rows of a class are linked by texts whose sets of shingles have at least
+    the Jaccard similarity `similarity`. Linked pairs are compared exactly; at 0.8 a pair is a candidate with a chance of 0.9999."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
-    fps = materialize(docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, th long, f array<bigint>"), "simhash-wide")
-    each = materialize(fps.select("f").distinct().withColumn("uid", F.monotonically_increasing_id()), "simhash-wide-each")
-    links = connected_components(wide_links(each, most_bits(similarity)), "simhash-wide")
-    named = each.join(links, each["uid"] == links["node"], "left").select(F.col("f").alias("_f"), F.coalesce("component", "uid").alias("class"))
-    named = materialize(named, "simhash-wide-class")
-    return fps.join(named, fps["f"] == named["_f"]).select("doc_id", "th", "class")
+    fps = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(frugal(_features(words_per_shingle, seed)), f"doc_id {kind}, th long, uid long, m long, f array<bigint>, bands array<bigint>")
+    fps = materialize(fps, "simhash-wide")
+    each = materialize(fps.groupBy("uid").agg(F.min("th").alias("th"), F.first("m").alias("m"), F.first("f").alias("f"), F.first("bands").alias("bands")), "simhash-wide-each")
+    links = similar_links(each, docs, words_per_shingle, similarity, seed)
+    named = materialize(each.select("uid").join(links, each["uid"] == links["node"], "left").select("uid", F.coalesce("component", "uid").alias("class")), "simhash-wide-class")
+    return fps.select("doc_id", "th", "uid").join(named, "uid").select("doc_id", "th", "class")
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.85, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest (doc_id, text hash), nulls last; all columns stay.
 
     Of equal rows one stays. Texts that are null, or without words, are one group. Texts are not shuffled unless very many rows go.

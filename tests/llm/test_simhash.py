@@ -120,3 +120,50 @@ def test_keep_one(spark):
     far = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100)), "en") for i in range(50)], "doc_id long, text string, th string")
     assert S.keep_one(far).count() == 50
     assert kept.count() == len(ids)
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingles(text):
+    words = text.split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_similar_groups_by_brute_force(spark, monkeypatch, tile):
+    """Pairs of a similarity from 0.7 to 0.95, a chain and a large group against all pairs compared."""
+    monkeypatch.setattr(S, "TILE_ROWS", tile)
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    texts = []
+    for i in range(240):
+        n = rng.choice([60, 150, 300])
+        words, j = fresh(n), 0.7 + i % 26 / 100
+        new = round((1 - 2 * j / (1 + j)) * n)
+        texts += [" ".join(words), " ".join(words[: n - new] + fresh(new))]
+    chain = fresh(200)
+    for _ in range(8):
+        texts.append(" ".join(chain))
+        chain = chain[18:] + fresh(18)
+    crowd = fresh(100)
+    for _ in range(30):
+        texts.append(" ".join(crowd[: rng.randrange(78, 100)] + fresh(8)))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r["class"] for r in S.similar_groups(df).collect()}
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(pairs) > 150 and found >= 0.99 * len(pairs)
+    # nothing is linked that isn't alike
+    assert all(find(i) == find(j) for i in range(len(texts)) for j in range(i) if got[i] == got[j])
