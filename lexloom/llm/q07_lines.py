@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .line_dedup import remove_repeats
+from .line_dedup import LEAST_WORDS, remove_repeats
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,21 +18,39 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}
 ORACLE = {
-    "op7_line_dedup": r"""
+    "op7_line_dedup": rf"""
 WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS us FROM documents
-), pieces AS (
-  SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) - 1 AS unit_no FROM split
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS ps FROM documents
+), raw AS (
+  SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM split
 ), placed AS (
-  SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
-    coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM pieces
+  SELECT *, list_filter(string_split_regex(lower(piece), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM raw
+), full_ AS (
+  SELECT doc_id, k, array_to_string(w, ' ') AS norm, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS no,
+    sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM placed WHERE len(w) > 0
+), docs AS (
+  SELECT doc_id, list(norm ORDER BY no) AS norms, list(k ORDER BY no) AS ks FROM full_ GROUP BY doc_id
+), short AS (
+  SELECT a.doc_id, a.no AS a, b.no AS b FROM full_ a ASOF JOIN full_ b ON a.doc_id = b.doc_id AND a.upto - a.n + {LEAST_WORDS} <= b.upto
+), units AS (
+  SELECT * FROM short UNION SELECT doc_id, max(a), any_value(len(norms)) FROM short JOIN docs USING (doc_id) GROUP BY doc_id
 ), ranked AS (
-  SELECT *, CASE WHEN norm = '' THEN 0 ELSE row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit_no) END AS k FROM placed
+  SELECT u.doc_id, a, b, ks, first_value(u.doc_id) OVER g AS f_id, first_value(a) OVER g AS f_a, first_value(b) OVER g AS f_b
+  FROM units u JOIN docs USING (doc_id) WINDOW g AS (PARTITION BY array_to_string(list_slice(norms, a, b), ' ') ORDER BY u.doc_id, a, b)
+), spans AS (
+  SELECT DISTINCT doc_id, ks[CASE WHEN doc_id = f_id THEN greatest(a, f_b + 1) ELSE a END] AS lo, ks[b] AS hi FROM ranked
+  WHERE NOT (doc_id = f_id AND a = f_a AND b = f_b) AND (doc_id <> f_id OR f_b < b)
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.k FROM placed p JOIN spans s ON p.doc_id = s.doc_id AND p.k BETWEEN s.lo AND s.hi
+), marked AS (
+  SELECT p.*, g.k IS NOT NULL AS gone FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.k = g.k
+), sums AS (
+  SELECT doc_id, count(*) FILTER (len(w) > 0) AS n_units, count(*) FILTER (len(w) > 0 AND gone) AS n_removed, coalesce(sum(length(piece)) FILTER (gone), 0) AS removed_chars,
+    coalesce(min(start) FILTER (gone), -1) AS first_removed, coalesce(string_agg(piece, '' ORDER BY k) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id
 )
-SELECT doc_id, CAST(count(*) FILTER (norm <> '') AS BIGINT) AS n_units, CAST(count(*) FILTER (k > 1) AS BIGINT) AS n_removed,
-  CAST(coalesce(sum(length(unit)) FILTER (k > 1), 0) AS BIGINT) AS removed_chars, CAST(coalesce(min(start) FILTER (k > 1), -1) AS BIGINT) AS first_removed,
-  md5(coalesce(string_agg(unit, chr(10) ORDER BY unit_no) FILTER (k <= 1), '')) AS kept_md5
-FROM ranked GROUP BY doc_id
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars,
+  CAST(coalesce(first_removed, -1) AS BIGINT) AS first_removed, md5(coalesce(kept, '')) AS kept_md5
+FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id
 """
 }
