@@ -1,15 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame expressions only.
 
-Cutoffs come from a fixed grid. On labelled holdouts, a cutoff of a rule is admissible in a stratum (language) if the exact
-binomial bound shows that it rejects at most `risk` of the good documents: the chance of as few false rejections as
-were seen, if the rate were `risk`, must not exceed `error` divided by the number of all tests (Bonferroni over strata, rules and
-grid). The risk is divided evenly among the rules, so that the verdict as a whole falsely rejects at most `risk` in each
-stratum, in all strata at once, with confidence 1 - error. A stratum without enough labels gets no cutoffs and rejects nothing.
+A point is a rule and one of its fixed cutoffs. In each stratum (language) the points are put in an order, and the verdict after t
+steps rejects what any of the first t points rejects, so that verdicts are nested. The order comes from the bad documents and a quarter of
+the good ones (the tuning fold): most bad documents first, less PRICE for each good one; points that gain nothing are left out. The other good
+documents are the holdout, which the order doesn't depend on. On it the verdicts are tested one after the other: step t holds
+if the exact binomial bound shows that it rejects at most `risk` of the good documents, that is if the chance of as few false rejections as
+were seen, at a rate of `risk`, is at most `error` divided by the number of strata; the first step that doesn't hold ends the tests.
+Testing in a fixed order needs no correction within a stratum, Bonferroni's covers the strata: with confidence 1 - error no stratum loses more
+than `risk` of its good documents. Of the steps that hold the one with most gain is taken. A stratum with too few labels to show
+anything rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -29,6 +33,8 @@ RULES: dict[str, tuple[float, ...]] = {
 RISK, ERROR = 0.03, 0.05
 #: Falsely rejected good documents that one more rejected bad document is worth, at most.
 PRICE = 20
+#: Share of good documents that only order the points: those whose digest begins with a digit below this one, of sixteen.
+TUNING_DIGIT = "4"
 #: Strata up to which the cutoffs are broadcast (some 100 bytes each); a shuffled join beyond it.
 BROADCAST_STRATA = 10_000
 #: Labelled doc_ids up to which they are broadcast (8 bytes each).
@@ -36,15 +42,17 @@ BROADCAST_LABELS = 2_000_000
 
 
 def features(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), stratum: Column | None = None) -> DataFrame:
-    """carry columns, stratum, the base counts and the rules' features of each row; a null text counts as empty.
+    """carry columns, stratum, the base counts and the rules' features of each row; a null text counts as empty, texts of any length are taken whole.
 
-    Columns named in carry may be any of docs but must not have the names of results. The arrays are made in
+    Columns named in carry may be any of docs; one that has a result's name gets the prefix "in_". The arrays are made in
     steps, and each is used more than once, so that the optimiser does not merge the steps and make them again for every element. Filter the
     result only after it is written, or by judge().
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if stratum is None else stratum
-    base = docs.select(*carry, stratum.alias("stratum"), text.alias("_t"))
+    taken = {"stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", *RULES}
+    named = {c: f"in_{c}" if c in taken else c for c in carry}
+    base, carry = docs.select(*(F.col(c).alias(n) for c, n in named.items()), stratum.alias("stratum"), text.alias("_t")), tuple(named.values())
     step = base.select("*", F.filter(F.split("_t", f"{SPACES}+"), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     size = F.size("_w")
     hashes = F.transform("_w", lambda w: F.xxhash64(w))
@@ -89,34 +97,68 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.aggregate(steps, zero, add, lambda acc: acc["sum"]))
 
 
-def candidates(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, false_rejects, true_rejects, admissible) for each point of the grid.
+#: The points, in natural order.
+POINTS = [(rule, float(cut)) for rule, cuts in RULES.items() for cut in cuts]
 
-    labelled: stratum, base_failed, the features, good (boolean; null rows are left out). Documents that the base rules
-    reject don't count. One pass of partial sums; the result has some tens of rows a stratum.
+
+def tuning(doc_id: Column) -> Column:
+    """Whether a good document belongs to the tuning fold."""
+    return F.coalesce(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1) < TUNING_DIGIT, F.lit(False))
+
+
+def ordered_points(labelled: DataFrame) -> DataFrame:
+    """(o_stratum, ranks): for each point its place in the stratum's order, from 1; null where it gains nothing.
+
+    labelled: stratum, the features, good, tune. One pass of partial sums, then some tens of rows a stratum.
     """
-    labelled = labelled.where("good is not null and not base_failed")
-    grid = [(rule, cut, F.col(rule) > cut) for rule, cuts in RULES.items() for cut in cuts]
-    sums = [F.count_if("good").alias("n_good")]
-    for j, (_, _, hit) in enumerate(grid):
-        sums += [F.count_if(hit & F.col("good")).alias(f"f{j}"), F.count_if(hit & ~F.col("good")).alias(f"t{j}")]
+    sums = []
+    for j, (rule, cut) in enumerate(POINTS):
+        hit = F.col(rule) > cut
+        sums.append((F.count_if(hit & ~F.col("good")) - PRICE * F.count_if(hit & F.col("good") & F.col("tune"))).alias(f"g{j}"))
     wide = labelled.groupBy("stratum").agg(*sums)
-    points = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.col(f"f{j}").alias("false_rejects"), F.col(f"t{j}").alias("true_rejects")) for j, (rule, cut, _) in enumerate(grid)))
-    long = materialize(wide.select("stratum", "n_good", F.inline(points)), "quality-grid")
-    tests = long.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_tests"))  # one row
-    share = risk / len(RULES)
-    possible = (F.col("n_good") > 0) & (F.col("false_rejects") <= F.col("n_good") * share)
-    sure = F.when(possible, binomial_cdf(F.col("false_rejects"), F.col("n_good"), share) <= error / F.col("n_tests")).otherwise(F.lit(False))
-    return long.join(F.broadcast(tests)).withColumn("admissible", sure).drop("n_tests")
-
-
-def cutoffs(points: DataFrame) -> DataFrame:
-    """(stratum, one column for each rule): the admissible cutoff that rejects most bad documents, less PRICE times the good
-    ones; null where there is none that gains anything. Ties go to the higher cutoff."""
+    long = wide.select("stratum", F.posexplode(F.array(*(f"g{j}" for j in range(len(POINTS))))).alias("j", "gain"))
+    # at equal gain the earlier rule, and of one rule the higher cutoff, which rejects less
+    place = {rule: i for i, rule in enumerate(RULES)}
+    keys = F.array(*(F.lit(1000 * place[rule] + len(RULES[rule]) - RULES[rule].index(cut)) for rule, cut in POINTS))
+    order = Window.partitionBy("stratum").orderBy(F.desc("gain"), F.get(keys, F.col("j")))
+    ranked = long.where("gain > 0").select("stratum", "j", F.row_number().over(order).alias("place"))
+    picks = [F.max(F.when(F.col("j") == j, F.col("place"))) for j in range(len(POINTS))]
+    return ranked.groupBy(F.col("stratum").alias("o_stratum")).agg(F.array(*picks).alias("ranks"))
+
+
+def steps(labelled: DataFrame, order: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, step, n_good, false_rejects, true_rejects, holds) for each verdict; false rejections are those of the holdout.
+
+    labelled: stratum, the features, good, tune; order: that of ordered_points(), written.
+    """
+    order = F.broadcast(order) if order.count() <= BROADCAST_STRATA else order
+    strata = labelled.agg(F.count_distinct("stratum").alias("n_strata"))  # one row
+    rows = labelled.where(~(F.col("good") & F.col("tune"))).join(order, F.col("stratum") == F.col("o_stratum"), "left")
+    first = F.least(*(F.when(F.col(rule) > cut, F.get("ranks", F.lit(j))) for j, (rule, cut) in enumerate(POINTS)))
+    size = F.coalesce(F.array_max("ranks"), F.lit(0))
+    counts = rows.select("stratum", "good", first.alias("first"), size.alias("size")).groupBy("stratum", "first").agg(F.max("size").alias("size"), F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    counts = materialize(counts, "quality-steps")  # some tens of rows a stratum
+    whole = counts.groupBy("stratum").agg(F.sum("g").alias("n_good"), F.max("size").alias("size"))
+    whole = whole.where("size > 0").select("stratum", "n_good", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("step"))
+    seen = counts.where("first is not null").select(F.col("stratum").alias("s"), "first", "g", "b")
+    along = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    each = whole.join(seen, (F.col("stratum") == F.col("s")) & (F.col("step") == F.col("first")), "left")
+    each = each.select("stratum", "step", "n_good", F.sum(F.coalesce("g", F.lit(0))).over(along).alias("false_rejects"), F.sum(F.coalesce("b", F.lit(0))).over(along).alias("true_rejects"))
+    possible = (F.col("n_good") > 0) & (F.col("false_rejects") <= F.col("n_good") * risk)
+    alone = each.join(F.broadcast(strata)).withColumn("alone", F.when(possible, binomial_cdf(F.col("false_rejects"), F.col("n_good"), risk) <= error / F.col("n_strata")).otherwise(F.lit(False)))
+    return alone.withColumn("holds", F.min("alone").over(along)).drop("alone", "n_strata")
+
+
+def cutoffs(tested: DataFrame, order: DataFrame) -> DataFrame:
+    """(cut_stratum, one column for each rule): the lowest cutoff of each rule in the verdict that is taken: of those that hold the one that rejects most
+    bad documents, less PRICE times the good ones of the holdout; ties go to the earlier step. Strata without one have no row."""
     gain = F.col("true_rejects") - PRICE * F.col("false_rejects")
-    best = points.where("admissible").where(gain > 0)
-    picks = [F.max_by(F.when(F.col("rule") == rule, F.col("cutoff")), F.when(F.col("rule") == rule, F.struct(gain, "cutoff"))).alias(f"cut_{rule}") for rule in RULES]
-    return best.groupBy(F.col("stratum").alias("cut_stratum")).agg(*picks)
+    best = tested.where(F.col("holds") & (gain > 0)).groupBy("stratum").agg(F.max_by("step", F.struct(gain, -F.col("step"))).alias("taken"))
+    picks = []
+    for rule, cuts in RULES.items():
+        inside = [F.when(F.get("ranks", F.lit(POINTS.index((rule, float(cut))))) <= F.col("taken"), F.lit(float(cut))) for cut in cuts]
+        picks.append(F.least(*inside).alias(f"cut_{rule}"))
+    return best.join(order, F.col("stratum") == F.col("o_stratum")).select(F.col("stratum").alias("cut_stratum"), *picks)
 
 
 def judge(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -136,23 +178,27 @@ def label_of(labels: DataFrame) -> DataFrame:
 
 
 def calibrate(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The cutoffs from rows (features with doc_id) and labels (doc_id, quality)."""
+    """The cutoffs from rows (features with doc_id) and labels (doc_id, quality). Documents that the base rules reject don't count."""
     known = label_of(labels)
-    return cutoffs(candidates(rows.join(known, rows["doc_id"] == known["label_id"]), risk, error))
+    labelled = rows.where(~F.col("base_failed")).join(known.where("good is not null"), rows["doc_id"] == known["label_id"])
+    labelled = materialize(labelled.select("stratum", *RULES, "good", tuning(rows["doc_id"]).alias("tune")), "quality-labelled")
+    order = materialize(ordered_points(labelled), "quality-points")
+    return cutoffs(steps(labelled, order, risk, error), order)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Features and verdict of every row of docs (doc_id, text, lang; other columns are ignored).
 
-    Null texts count as empty and fail the base rules; repeated rows and doc_ids are judged one by one; without labels only the base
-    rules reject; empty tables give no rows.
+    Null texts count as empty and fail the base rules; a null lang is a stratum of its own; texts of any length are taken whole; repeated rows and
+    doc_ids are judged one by one; a document with several labels is good if all say so, labels without doc_id or quality are left out; without
+    labels only the base rules reject; empty tables give no rows.
     """
     rows = materialize(features(docs), "quality-features")
     return judge(rows, calibrate(rows, labels, risk, error))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of docs that the verdict keeps, with all their columns.
+    """The rows of docs that the verdict keeps, with all their columns, whatever these are named; all else as quality_rules().
 
     The features are computed for the cutoffs, of labelled documents, and again for the verdict: that moves no text, while a join of the
     verdict would.
