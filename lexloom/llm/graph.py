@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
 
     Each partition first contracts its edges to stars. Then large-star and small-star alternate until
     nothing changes; minima are partial aggregates, and the two sides of each join are written tables, so
-    that adaptive execution can split a hub. Self loops and repeated edges are allowed.
+    that adaptive execution can split a hub. The tables of a round go when the next one is written. Self loops and repeated edges are allowed.
     """
     stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long")
     now = materialize(stars.distinct(), f"{label}-edges")
@@ -62,10 +62,12 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{label}-min")
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, f"{label}-large")
+        discard(least, now)
         # small-star: a node and its smaller neighbours are tied to the smallest of these
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-min")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}-edges")
+        discard(least, large)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state["n"] == 0 or (before is not None and (state["n"], state["x"]) == before):
             break

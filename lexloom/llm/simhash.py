@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize
+from .common import discard, frugal, materialize
 from .graph import connected_components, forest
 
 #: Rows of one key beyond which its comparisons are dealt to several tasks as tiles.
