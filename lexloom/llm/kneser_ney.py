@@ -13,6 +13,7 @@ Thresholds are quantiles of the perplexities of trusted documents that were held
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +25,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 ORDER = 5
-#: Bytes of text in a chunk, n-grams that a shard of the model is meant to hold, and chunks that share a copy of a shard.
-CHUNK_BYTES, SHARD_NGRAMS, CHUNK_GROUP = 8 << 20, 65_536, 4_096
+#: Bytes of text in a chunk, n-grams that a shard of the model is meant to hold, and bytes of text whose chunks share a copy of a shard: a chunk asks
+#: a shard for some 50 kB at most, so that a task that answers reads some 25 MB whatever the size of the corpus.
+CHUNK_BYTES, SHARD_NGRAMS, PART_BYTES = 8 << 20, 65_536, 4 << 30
 #: One in so many trusted documents is held out for the thresholds, which are this quantile.
 FOLDS, QUANTILE = 5, 0.995
 #: Trusted doc_ids up to which they are broadcast (8 bytes each); a shuffled join beyond it.
@@ -72,22 +74,21 @@ class Ngrams:
             inside[starts] = False
         # the number of the n-gram that ends at each byte, order by order
         symbols = np.flatnonzero(np.bincount(data, minlength=256))
-        dense = np.zeros(256, np.int64)
+        dense = np.zeros(256, np.int32)
         dense[symbols] = np.arange(len(symbols))
         sym = dense[data]
         number, keys = sym, symbols.astype(np.int64)
         for _ in range(ORDER - 1):
-            code = np.empty(len(sym), np.int64)
-            code[1:] = number[:-1] * len(symbols)
+            entries = len(keys) * len(symbols)
+            code = np.empty(len(sym), np.int32 if entries < 1 << 31 else np.int64)
+            np.multiply(number[:-1], len(symbols), out=code[1:], casting="unsafe", dtype=code.dtype)
             code[:1] = 0
             code += sym
-            entries = len(keys) * len(symbols)
             if entries <= TABLE:
                 there = np.zeros(entries, bool)
                 there[code] = True
                 codes = np.flatnonzero(there)
-                index = np.cumsum(there) - 1
-                number = index[code]
+                number = (np.cumsum(there, dtype=np.int32) - np.int32(1))[code]
             else:
                 codes, number = np.unique(code, return_inverse=True)
             keys = keys[codes // len(symbols)] << 8 | symbols[codes % len(symbols)]
@@ -113,9 +114,11 @@ class Ngrams:
             total += delta[np.searchsorted(wanted, self.keys & ((1 << 8 * n) - 1) | n << _TAG)]
             if n < ORDER:
                 total += gamma[np.searchsorted(wanted, self.keys >> 8 & ((1 << 8 * n) - 1) | n << _TAG)]
-        along = np.concatenate([[0.0], np.cumsum(total[self.number])])
-        ends = np.cumsum(self.lengths)
-        return along[ends] - along[ends - self.lengths]
+        full = np.flatnonzero(self.lengths)
+        out = np.zeros(len(self.lengths))
+        if len(full):
+            out[full] = np.add.reduceat(total[self.number], (np.cumsum(self.lengths) - self.lengths)[full])
+        return out
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -172,7 +175,7 @@ def train(texts: DataFrame) -> DataFrame:
     levels = {ORDER: level}
     for n in range(ORDER - 1, 0, -1):
         levels[n] = materialize(levels[n + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")), "kn-counts")
-    below, model, contexts = None, [], {}
+    below, model, contexts, spent = None, [], {}, list(levels.values())
     for n in range(1, ORDER + 1):
         c = F.col("c")
         of = levels[n].agg(*(F.count_if(c == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()  # one row
@@ -194,13 +197,16 @@ def train(texts: DataFrame) -> DataFrame:
             rows = rows.select("key", p.alias("p"), (F.log(p) - F.log(F.col("g") * F.col("q"))).alias("delta"))
             contexts[n - 1] = stats.select(F.col("ctx").bitwiseOR(F.lit(n - 1 << _TAG)).alias("key"), F.log("g").alias("gamma"))
         below = materialize(rows, "kn-level")
+        spent.append(below)
         model.append(below.select(F.col("key").bitwiseOR(F.lit(n << _TAG)).alias("key"), F.col("delta").cast("float").alias("delta")))
     deltas, gammas = model[0], contexts[0]
     for n in range(1, ORDER):
         deltas, gammas = deltas.unionByName(model[n]), gammas.unionByName(contexts[n])
     # a context that no n-gram ends with (a text's beginning) has a gamma only
     both = deltas.join(gammas, "key", "full_outer").select("key", F.coalesce("delta", F.lit(0.0)).cast("float").alias("delta"), F.coalesce("gamma", F.lit(0.0)).cast("float").alias("gamma"))
-    return materialize(both, "kn-model")
+    out = materialize(both, "kn-model")
+    discard(*spent)
+    return out
 
 
 # ---------------------------------------------------------------- scores
@@ -254,7 +260,7 @@ def _score(shards: int) -> Callable:
                 if not len(at):
                     continue
                 if s not in found:
-                    raise RuntimeError("a chunk was read in another order than before: write the documents to a table first")
+                    raise RuntimeError("a chunk has no answers: the documents weren't read alike twice")
                 low = at[wanted[at] < ORDER << _TAG]
                 values = _unpack(found[s], "<f4")
                 delta[at], gamma[low] = values[: len(at)], values[len(at) :]
@@ -267,19 +273,29 @@ def _score(shards: int) -> Callable:
     return run
 
 
+def _read_alike(df: DataFrame) -> bool:
+    """Whether df is read from files and only projected, filtered and joined with broadcast tables, so that its rows come in the same order whenever a plan reads it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not re.search(r"Exchange hash|Exchange range|Exchange Round|Exchange Single|Sort |Limit|Sample|Python|Pandas|Arrow|InMemory|ExistingRDD|Generate|Aggregate", plan) and "FileScan" in plan
+
+
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity): perplexity a byte of each row; null for empty texts and without a model.
 
-    docs: doc_id, lang, text (binary). Its partitions must be read alike twice, as files and written tables are.
+    docs: doc_id, lang, text (binary). Its rows are read twice in one plan, for what chunks ask and for their scores; unless they come from files as they
+    are, which gives the same chunks both times, they are written to a table first.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = model.count()
     if not size:
         return docs.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"))
-    shards = int(np.clip(-(-size // SHARD_NGRAMS), 1, 4_096))
+    if not _read_alike(docs):
+        docs = materialize(docs, "kn-documents")
+    shards = max(1, -(-size // SHARD_NGRAMS))
     asked = docs.mapInArrow(_ask(shards), "shard int, chunk long, keys binary")
     # chunks are numbered in groups, and each group has a copy of the model: what meets in a task stays bounded
-    groups = max(1, -(-docs.rdd.getNumPartitions() // CHUNK_GROUP))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    groups = max(1, -(-n_bytes // PART_BYTES))
     asked = asked.withColumn("part", F.pmod("chunk", F.lit(groups)).cast("int"))
     keyed = model.mapInPandas(_with_shard(shards), "key long, delta float, gamma float, shard int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     answers = asked.groupBy("shard", "part").cogroup(keyed.groupBy("shard", "part")).applyInPandas(_answer_group, "shard int, chunk long, values binary")
@@ -317,7 +333,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, lan
 
     The model is trained on all trusted documents but those held out; the threshold of a language is the quantile of its held-out
     documents' perplexities. A row is kept unless its perplexity is above the threshold: null and empty texts, and languages
-    without held-out documents, are kept with nulls. Repeated rows are scored one by one, a null lang is a language of its own, and without
+    without held-out documents, are kept with nulls. Texts of any length are scored whole, a very long one as a chunk of its own; repeated rows are scored one by one, a null lang is a language of its own, and without
     labels all is kept; an empty table gives no rows.
     """
     spark = docs.sparkSession
