@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def _starts(needle: Column, hay: Column) -> Column:
     """The 0-based positions at which needle is a contiguous part of hay; an empty needle is at every position."""
-    last = F.greatest(F.size(hay) - F.size(needle), F.lit(0))
-    return F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(hay, i + 1, F.size(needle)) == needle)
+    head, rest = F.get(needle, F.lit(0)), F.size(needle)
+    # most positions fail at their first element, before anything is copied
+    found = F.filter(F.transform(hay, lambda x, i: F.when(x.eqNullSafe(head) & (F.slice(hay, i + 1, rest) == needle), i)), lambda i: i.isNotNull())
+    return F.when(rest == 0, F.sequence(F.lit(0), F.size(hay))).otherwise(found)
 
 
 def sublist_position(needle: Column, hay: Column) -> Column:
@@ -27,9 +29,16 @@ def contains_sublist(needle: Column, hay: Column) -> Column:
 
 
 def overlap_count(a: Column, b: Column) -> Column:
-    """The size of the intersection of two multisets."""
-    times = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(times(a, t), times(b, t)))
+    """The size of the intersection of two multisets: both are sorted together, and each run of equal elements gives what both sides have of it. Nulls count for nothing."""
+    side = lambda x, k: F.transform(F.filter(x, lambda t: t.isNotNull()), lambda t: F.struct(t.alias("t"), F.lit(k).alias("k")))
+    state = lambda t, p, q, n: F.struct(t.alias("t"), p.alias("p"), q.alias("q"), n.alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same, first, second = acc["t"].eqNullSafe(x["t"]), 1 - x["k"], x["k"]
+        return state(x["t"], F.when(same, acc["p"]).otherwise(0) + first, F.when(same, acc["q"]).otherwise(0) + second, F.when(same, acc["n"]).otherwise(acc["n"] + F.least(acc["p"], acc["q"])))
+
+    zero = state(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), zero, step, lambda acc: acc["n"] + F.least(acc["p"], acc["q"]))
 
 
 def first_where(values: Column, condition) -> Column:

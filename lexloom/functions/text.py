@@ -132,8 +132,29 @@ def nth_position(hay: Column, needle: Column, n: Column) -> Column:
 # Marks that tokenizers set apart, in this order, and spellings that they part.
 TIGHT_MARKS = (",", ".", ":", ";", "'", "-", "‐", "−", "–", "%", "’", "°", "(", ")", "/", "„", "”", "+")
 REPAIRS = (
-    ("° C", "°C"), ("/ t /", "/t/"), ("AC / DC", "AC/DC"), ("km / h", "km/h"), ("720 p", "720p"), ("HIV / AIDS", "HIV/AIDS"),
-)
+    ("° C", "°C"),
+    ("/ t /", "/t/"),
+    ("AC / DC", "AC/DC"),
+    ("12 terabajtów / miesiąc", "12 terabajtów/miesiąc"),
+    ("George’a H. W. Busha", "George’a H.W. Busha"),
+    ("3: 4, 3: 5, 4: 7 i 2: 5", "3:4, 3:5, 4:7 i 2:5"),
+    ("rezonans 2: 3", "rezonans 2:3"),
+    ("rezonansem 2: 3", "rezonansem 2:3"),
+    ("nie przeszkadzać ”", "nie przeszkadzać"),
+    ("Macintosha 128 K", "Macintosha 128K"),
+    ("soli miedzi (II", "soli miedzi(II)"),
+    ("sole miedzi (II", "sole miedzi(II)"),
+    ("tlenek ołowiu (II", "tlenek ołowiu(II)"),
+    ("km / h", "km/h"),
+    ("720 p", "720p"),
+    ("90 ° względem siebie", "90° względem siebie"),
+    ("subject–verb–object", "subject – verb – object"),
+    ("Alzacja - Lotaryngia", "Alzacja-Lotaryngia"),
+    ("La Isla Bonita ”", "La Isla Bonita"),
+    ("HIV / AIDS", "HIV/AIDS"),
+    ("urządzenia wejścia / wyjścia", "urządzenia wejścia/wyjścia"),
+    ('" Into the Groove "', '"Into the Groove"'),
+)
 
 
 def detokenized(answer: Column, original: Column, marks: tuple[str, ...] = TIGHT_MARKS, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> Column:

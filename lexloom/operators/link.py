@@ -56,11 +56,12 @@ def edges_from_text(edges_df: DataFrame) -> DataFrame:
     return edges_df.select(F.array(F.col("src").cast("string"), F.col("dst").cast("string")).alias("words"))
 
 
-def page_vectors(graph: DataFrame, size: int = 100, seed: int = 1):
-    """A Word2Vec model of a graph's edges (window 1); stochastic, so only its shape can be compared."""
+def page_vectors(graph: DataFrame, size: int = 100, seed: int = 1, rounds: int = 10, window: int = 1, partitions: int = 1):
+    """A Word2Vec model of a graph's edges, in so many rounds over them; stochastic, so only its shape can be compared. Beyond one partition, partitions are trained
+    apart and averaged."""
     from pyspark.ml.feature import Word2Vec
 
-    return Word2Vec(vectorSize=size, windowSize=1, minCount=1, maxIter=1, seed=seed, inputCol="words", outputCol="vector").fit(edges_from_text(graph))
+    return Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=rounds, numPartitions=partitions, seed=seed, inputCol="words", outputCol="vector").fit(edges_from_text(graph))
 
 
 def title_collisions(titles: DataFrame, normal: str = "normal") -> DataFrame:

@@ -6,9 +6,10 @@ dispatcher lower-cases the results and drops empty and repeated ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,7 +207,11 @@ def _money(currency: Column, rest: Column, given: Column) -> Column:
     amount = F.rtrim(F.regexp_replace(rest, f"({scales})$", ""))
     number = let(amount, lambda a: F.coalesce(F.when(a.rlike(r"^[\d.]+$"), trimmed(a)), number_word_value(a).cast("string")))
     hundreds = lambda n: (n.try_cast("decimal(20,2)") * 100).cast("decimal(20,0)").cast("string")
-    scaled = let(number, lambda n: F.when(n.isNotNull(), let(F.when(unit == "hundred", hundreds(n)).otherwise(F.concat_ws(" ", comma(n), lookup(L.SCALES, unit))), with_currency)))
+    blanks = lambda n: F.concat(grouped(F.split_part(n, F.lit("."), F.lit(1)).try_cast("long")), F.regexp_extract(comma(n), "(,.*)$", 1))
+    said = lambda n: F.concat_ws(" ", n, lookup(L.SCALES, unit))
+    whole = lambda n: F.array_distinct(F.concat(with_currency(said(comma(n))), with_currency(said(F.coalesce(blanks(n), comma(n))))))
+    bare = lambda n: F.array_distinct(F.array(said(comma(n)), said(F.coalesce(blanks(n), comma(n)))))
+    scaled = let(number, lambda n: F.when(n.isNotNull(), F.when(unit == "hundred", with_currency(hundreds(n))).when(unit == "trillion", bare(n)).otherwise(whole(n))))
     return F.coalesce(
         F.when(rest.rlike(r"^[\d.]+$"), F.array_distinct(F.concat(with_currency(comma(plain)), with_currency(spaced)))),
         F.when(rest.rlike(rf"^(\D+|[\d.]+) *({scales})$"), scaled),
@@ -256,7 +261,7 @@ def _date(t: Column, given: Column) -> Column:
 
     start = F.split_part(given, F.lit(" "), F.lit(1))
     with_in = t.rlike(r"^in [\w ]+$")
-    found = core(F.when(with_in, F.substring(t, 4, 1_000_000)).otherwise(t))
+    found = core(F.when(with_in, F.substr(t, F.lit(4))).otherwise(t))
     return let(found, lambda inner: F.when(with_in, F.array_distinct(F.concat(inner, F.transform(inner, lambda x: F.concat_ws(" ", start, x)), F.array(given)))).otherwise(inner))
 
 
@@ -333,19 +338,27 @@ def last_known(rows: DataFrame) -> DataFrame:
 
 
 def request_batches(rows: DataFrame, limit: int) -> DataFrame:
-    """(group_id, ordinal, size, batch): greedy batches of a group's texts (group_id, ordinal, size), flushed once the sum reaches the limit."""
-    items = F.array_sort(F.collect_list(F.struct("ordinal", "size")))
-    none = F.array().cast("array<struct<ordinal:bigint,size:bigint,batch:int>>")
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("batch"), none.alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        total = acc["sum"] + x["size"]
-        out = F.concat(acc["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), x["size"].alias("size"), acc["batch"].alias("batch"))))
-        full = total >= limit
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"), F.when(full, acc["batch"] + 1).otherwise(acc["batch"]).alias("batch"), out.alias("out"))
-
-    grouped_rows = rows.select("group_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("size").cast("long").alias("size")).groupBy("group_id").agg(F.aggregate(items, zero, add, lambda acc: acc["out"]).alias("_b"))
-    return grouped_rows.select("group_id", F.inline("_b"))
+    """(group_id, ordinal, size, batch): greedy batches of a group's texts (group_id, ordinal, size), flushed once the sum reaches the limit.
+
+    A group's sorted rows run through a task that keeps one sum, however many they are. Null sizes count as 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, number, begun = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for g, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or g != group:
+                    group, total, number, begun = g, 0, 0, True
+                out.append(number)
+                total += size or 0
+                if total >= limit:
+                    total, number = 0, number + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], ["group_id", "ordinal", "size", "batch"])
+
+    kind = rows.schema["group_id"].dataType.simpleString()
+    rows = rows.select("group_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("size").cast("long").alias("size"))
+    return rows.repartition("group_id").sortWithinPartitions("group_id", "ordinal", "size").mapInArrow(run, f"group_id {kind}, ordinal long, size long, batch int")
 
 
 def translated_questions(answers: DataFrame, questions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def formatnum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("( "), F.substring("text", 1, 30), F.lit(" )"))
+    text = F.concat(F.lit("( "), F.col("text"), F.lit(" )"))
     edge = T.stripped_edges(F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", T.cleaned_answer(text).alias("cleaned"), edge["text"].alias("stripped"), edge["removed"].alias("removed"))
 
@@ -119,7 +119,7 @@ SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
 FROM (SELECT page_id, regexp_replace(regexp_replace(html, '</?h1[^>]*>', '==', 'g'), '</?(h[2-6]|p)[^>]*>', '===', 'g') AS w FROM pages)""",
     "formatnum": "SELECT l_orderkey, l_linenumber, 'in ' || l_orderkey || ' and ' || CAST(l_quantity AS INT) AS text FROM lineitem",
     "answer_cleanup": r"""
-SELECT item_id, regexp_replace(regexp_replace('( ' || substr(text, 1, 30) || ' )', '^[()*]\s*', ''), '\s*[()]$', '') AS cleaned,
+SELECT item_id, regexp_replace(regexp_replace('( ' || text || ' )', '^[()*]\s*', ''), '\s*[()]$', '') AS cleaned,
   regexp_replace(regexp_replace(text, '^[ .,!:;?`''$"]+', ''), '[ .,!:;?`''$"]+$', '') AS stripped, CAST(length(text) - length(regexp_replace(text, '^[ .,!:;?`''$"]+', '')) AS INT) AS removed FROM benchmark""",
     "questions": "SELECT conv_id, turn, lower(role) || ' ' || lower(regexp_replace(text, '[?.]$', '')) AS sentence, length(text) > 5 AND length(text) - length(replace(text, ' ', '')) > 1 AS valid FROM conversations WHERE role = 'user'",
     "title_normalize": "SELECT p_partkey, regexp_replace(lower(replace(p_name, ' ', '_') || '_(ł)&'''), '[_,():&'']', '', 'g') AS title, regexp_replace(lower(p_name), '[ _,():&'']', '', 'g') AS wiki_title FROM part",

@@ -38,7 +38,7 @@ def answer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a corpus: conversation = article, role = context, turn = question."""
     c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.col("conv_id").cast("string").alias("title"), F.col("role").alias("context"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.substring("text", 1, 20).alias("question"), F.col("text").alias("answer"), F.lit(0).alias("answer_start"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.col("conv_id").cast("string").alias("title"), F.col("role").alias("context"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.col("text").alias("answer"), F.lit(0).alias("answer_start"))
 
 
 def nest_unnest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.substring("text", 1, 1)).alias("answer"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("answer"))
     return nest.distinct_answers(rows, ["conv_id"], "answer", "turn")
 
 
@@ -90,13 +90,13 @@ s AS (SELECT id, max(CASE WHEN p = t_ THEN 1 ELSE 0 END) AS em, max(CASE WHEN co
 SELECT count(*) AS total, round(100.0 * sum(coalesce(em, 0)) / count(*), 4) AS exact_match, round(100.0 * sum(coalesce(f1, 0)) / count(*), 4) AS f1 FROM turns LEFT JOIN s USING (id)""",
     "answer_normalize": f"SELECT conv_id, turn, array_to_string({_TOKENS.format('text')}, ' ') AS answer FROM conversations",
     "nest_unnest_roundtrip": """
-WITH c AS (SELECT conv_id * 1000 + turn AS o, CAST(conv_id AS VARCHAR) AS title, role AS context, substr(text, 1, 20) AS question FROM conversations),
+WITH c AS (SELECT conv_id * 1000 + turn AS o, CAST(conv_id AS VARCHAR) AS title, role AS context, text AS question FROM conversations),
 q AS (SELECT title, context, question, min(o) AS o, count(*) AS n FROM c GROUP BY ALL),
 p AS (SELECT title, context, min(o) AS po FROM q GROUP BY ALL)
 SELECT title, CAST(dense_rank() OVER (PARTITION BY title ORDER BY po) - 1 AS INT) AS para_ix, context, CAST(row_number() OVER (PARTITION BY title, context ORDER BY o) - 1 AS INT) AS qa_ix, question, CAST(n AS INT) AS n_answers
 FROM q JOIN p USING (title, context)""",
     "global_ids": "SELECT conv_id, turn, 1000000 + row_number() OVER (ORDER BY conv_id, turn) AS new_id FROM conversations",
-    "distinct_answers": "SELECT conv_id, min(turn) AS turn, lower(substr(text, 1, 1)) AS answer FROM conversations GROUP BY conv_id, lower(substr(text, 1, 1))",
+    "distinct_answers": "SELECT conv_id, min(turn) AS turn, lower(text) AS answer FROM conversations GROUP BY conv_id, lower(text)",
     "version_merge": """
 SELECT CAST(conv_id AS VARCHAR) AS title, role AS context, conv_id || '-' || turn AS id, CAST(length(q) AS INT) AS n, turn % 2 = 0 AND turn = 4 AS is_impossible, starts_with(q, '!') AS newer
 FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN '!' || text ELSE text END AS q FROM conversations WHERE turn % 2 = 0 OR turn % 3 <> 0)""",

@@ -15,7 +15,7 @@ from .tables import table
 def devset_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in the line format, one file each: the role as title, turns as questions."""
     line = lambda k, c: F.concat(F.lit(f"{k}: "), c)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array(F.lit("# note"), line("T", F.col("role")), F.lit(""), line("C", F.lit("context")), line("Q", F.regexp_replace(F.substring("text", 1, 40), "\n", " ")), F.lit("A: a; b ;"), F.lit("====")), "\n").alias("t"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array(F.lit("# note"), line("T", F.col("role")), F.lit(""), line("C", F.lit("context")), line("Q", F.regexp_replace("text", "\n", " ")), F.lit("A: a; b ;"), F.lit("====")), "\n").alias("t"))
     text = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n").alias("text"))
     rows = devset.parse(text.withColumnRenamed("conv_id", "file_id"))
     return rows.select("id", "title", "context", "question", F.array_join("answers", "|").alias("answers"))
@@ -43,20 +43,23 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages for which Word2Vec gives vectors; their numbers are stochastic."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
-    model = link.page_vectors(link.edges(rows), 16)
-    return model.getVectors().select("word", F.size(F.expr("transform(array(1), x -> word)")).alias("n"))
+    """The pages for which Word2Vec gives vectors, and how many finite numbers not all zero these have; the numbers themselves are stochastic."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    v = vector_to_array("vector")
+    good = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return link.page_vectors(link.edges(rows), 16, rounds=1).getVectors().select("word", F.when(good, F.size(v)).otherwise(0).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (devset_parse, dump_parse, markup_clean, event_windows, page_embeddings)}
 ORACLE = {
     "devset_parse": """
-SELECT 1000000 + row_number() OVER (ORDER BY conv_id, turn) AS id, role AS title, 'context' AS context, trim(replace(substr(text, 1, 40), chr(10), ' '), ' ') AS question, 'a|b' AS answers FROM conversations""",
+SELECT 1000000 + row_number() OVER (ORDER BY conv_id, turn) AS id, role AS title, 'context' AS context, trim(replace(text, chr(10), ' '), ' ') AS question, 'a|b' AS answers FROM conversations""",
     "dump_parse": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_name || '''s (x),' END AS name, p_size FROM part",
     "markup_clean": r"""
 WITH b AS (SELECT item_id, regexp_replace(text, '[\[\]{}<>|&''=]', '', 'g') AS t FROM benchmark)
 SELECT item_id, t || ' label 12' || chr(10) AS text, t || '[[File:open' AS kept FROM b""",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS start, event_type AS category, count(*) AS n FROM events GROUP BY ALL",
-    "page_embeddings": "WITH e AS (SELECT DISTINCT l_partkey % 50 AS s, l_suppkey % 50 AS d FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50) SELECT DISTINCT CAST(x AS VARCHAR) AS word, CAST(1 AS INT) AS n FROM (SELECT s AS x FROM e UNION SELECT d FROM e)",
+    "page_embeddings": "WITH e AS (SELECT l_partkey AS s, l_suppkey AS d FROM lineitem WHERE l_partkey <> l_suppkey) SELECT DISTINCT CAST(x AS VARCHAR) AS word, CAST(16 AS INT) AS n FROM (SELECT s AS x FROM e UNION SELECT d FROM e)",
 }
