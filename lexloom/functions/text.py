@@ -159,14 +159,15 @@ REPAIRS = (
 
 def detokenized(answer: Column, original: Column, marks: tuple[str, ...] = TIGHT_MARKS, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> Column:
     """The answer without blanks before and after marks (in their order) where the original has none, and with repaired spellings."""
-    out = answer
-    for m in marks:
-        out = F.when(~original.contains(f" {m}"), F.replace(out, F.lit(f" {m}"), F.lit(m))).otherwise(out)
-        out = F.when(~original.contains(f"{m} "), F.replace(out, F.lit(f"{m} "), F.lit(m))).otherwise(out)
-    out = F.when(F.lower(answer) != F.lower(original), F.replace(out, F.lit(" s "), F.lit("s "))).otherwise(answer)
-    for a, b in repairs:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    blank = F.lit(" ")
+    # a fold over the marks and then the repairs: each step stands once in the plan
+    sides = F.array(*(F.struct(a.alias("old"), F.lit(m).alias("new")) for m in marks for a in (F.concat(blank, F.lit(m)), F.concat(F.lit(m), blank))))
+    tight = F.aggregate(sides, answer, lambda out, m: F.when(original.contains(m["old"]), out).otherwise(F.replace(out, m["old"], m["new"])))
+    out = F.when(F.lower(answer) != F.lower(original), F.replace(tight, F.lit(" s "), F.lit("s "))).otherwise(answer)
+    if not repairs:
+        return out
+    pairs = F.array(*(F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in repairs))
+    return F.aggregate(pairs, out, lambda text, p: F.replace(text, p["old"], p["new"]))
 
 
 def is_letters(word: Column) -> Column:

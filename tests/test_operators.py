@@ -1,6 +1,9 @@
 import json
 import os
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +271,84 @@ def test_composites(spark):
     questions = spark.createDataFrame([("1", "Kto to jest?"), ("2", "Kto to jest?")], "qid string, question string")
     ner = spark.createDataFrame([("1", "a", "O")], "qid string, en_answer string, ner string")
     assert {(r.answer, r.ner) for r in T.translated_questions(answers, questions, ner).collect()} == {("x", "O"), ("y", "O")}
+
+
+def _vectors(spark, n=1500, dim=24, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x[:20] = x[20:40]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    return x, spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+
+
+def test_nearest_by_brute_force(spark, monkeypatch):
+    from lexloom.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "ROWS", 100)
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    x, df = _vectors(spark, 400)
+    odd = spark.createDataFrame([(1000, None), (1001, []), (1002, [0.0] * 24), (1003, [1.0] * 3), (1004, [None] * 24), (1005, [2.0] * 3)], "id long, vector array<double>")
+    for most in (100, 0):
+        monkeypatch.setattr(retrieve, "BROADCAST_BLOCKS", most)
+        found = retrieve.nearest(df.unionByName(odd), df.where("id % 10 = 0").unionByName(odd), 6, 6).collect()
+        got = {}
+        for r in found:
+            got.setdefault(r.query_id, []).append((r.place, r.id, r.similarity))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for q in range(0, 400, 10):
+            cos = np.round(u[q] @ u.T, 6)
+            want = sorted(range(400), key=lambda i: (-cos[i], i))[:6]
+            assert [i for _, i, _ in sorted(got[q])] == want
+        assert set(got) == {*range(0, 400, 10), 1003, 1005} and [i for _, i, _ in sorted(got[1003])] == [1003, 1005]
+
+
+def test_recall_of_hashing(spark):
+    from lexloom.operators import dataset, retrieve
+
+    _, df = _vectors(spark)
+    queries = df.where("id % 50 = 0")
+    exact = {(r.query_id, r.id) for r in retrieve.nearest(df, queries, 20).collect()}
+    found = {(r.query_id, r.id) for r in dataset.similar_by_hashing(df, queries, 20).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_containing_by_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, rng.choice("ab"), " ".join(rng.choices(["x", "y", "z", "xy", "Z"], k=rng.randrange(0, 30)))) for i in range(80)]
+    asked = [(k, a) for k in "ab" for a in ("x", "x y", "z z", "y xy x", "", "Q", "x y z x y")]
+    d = spark.createDataFrame(docs, "doc_id long, key string, text string").withColumn("tokens", F.filter(F.split(F.lower("text"), " "), lambda t: t != ""))
+    a = spark.createDataFrame(asked, "key string, answer string").withColumn("answer_tokens", F.filter(F.split(F.lower("answer"), " "), lambda t: t != ""))
+    want = set()
+    for i, k, t in docs:
+        words = [w for w in t.lower().split(" ") if w]
+        for j, s in asked:
+            n = [w for w in s.lower().split(" ") if w]
+            if j == k and s.lower() in t.lower() and any(words[p : p + len(n)] == n for p in range(max(1, len(words) - len(n) + 1))):
+                want.add((i, s))
+    assert {(r.doc_id, r.answer) for r in match.containing(d, a, "key", ["doc_id"]).collect()} == want
+
+
+def test_batches(spark):
+    rng = random.Random(6)
+    rows = [(g, i, rng.choice([None, 0, 3, 50, 200])) for g in ("a", "b", None) for i in range(60)]
+    got = {(r.group_id, r.ordinal): r.batch for r in T.request_batches(spark.createDataFrame(rows, "group_id string, ordinal long, size long"), 100).collect()}
+    for g in ("a", "b", None):
+        total = number = 0
+        for _, i, size in [x for x in rows if x[0] == g]:
+            assert got[g, i] == number
+            total += size or 0
+            if total >= 100:
+                total, number = 0, number + 1
+
+
+def test_long_inputs_are_whole(spark):
+    from lexloom.functions.arrays import overlap_count
+
+    words = [f"w{i % 977}" for i in range(12_000)]
+    row = ("Ile " + " ".join(words), "12", 4, "NUMBER", ["Ile", *words], ["ile", *words], [], -1.0)
+    df = spark.createDataFrame([row], "question string, answer string, answer_start int, answer_ne string, q_tokens array<string>, q_lemmas array<string>, entities array<struct<text:string,label:string>>, similarity double")
+    made = augment.extended(df, augment.number_rules()).where("extended").first()
+    assert made.question == "Jak wiele " + " ".join(words)
+    other = [f"w{i % 1500}" for i in range(9_000)]
+    common = sum((Counter(words) & Counter(other)).values())
+    assert spark.createDataFrame([(words, [*other, None])], "a array<string>, b array<string>").select(overlap_count(F.col("a"), F.col("b")).alias("n")).first().n == common
