@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -173,20 +174,48 @@ def fingerprint_hex(fp: str = "fp"):
 
 # ---------------------------------------------------------------- by similarity
 
-#: Words of a wide fingerprint; bands of minima, and minima of a band.
-WIDE, BANDS, BAND_ROWS = 5, 24, 5
-#: Standard deviations by which a pair's distance may lie above the mean before its shingles are left uncompared.
-SPREAD = 6
+#: Chance with which a pair of just the wanted similarity is to be a candidate, at least.
+CHANCE = 0.99
+#: Standard deviations by which a pair's distance may lie above the mean before its shingles are left uncompared: of the whole fingerprint, and of the one word of it that
+#: goes with each ball.
+SPREAD, WORD_SPREAD = 6, 4
+#: Bits of a segment beyond the logarithm of the number of documents, so that chance matches grow in proportion to these; documents whose balls are made at a time.
+MORE_BITS, BALL_ROWS = 3, 2_048
+#: Ball entries of a bucket, and rows of a key up to which all its pairs are compared at once.
+BUCKET_ENTRIES, SMALL_KEY = 1 << 21, 64
 #: Documents whose shingles a worker sends on at a time.
 SET_ROWS = 128
 #: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
 BROADCAST_ROWS = 1_000_000
 
 
-def most_bits(similarity: float) -> int:
-    """The bits of a wide fingerprint that two texts of this Jaccard similarity of their shingles differ in at most, SPREAD standard deviations above the mean."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * WIDE * p + SPREAD * math.sqrt(64 * WIDE * p * (1 - p)))
+def bit_chance(similarity: float) -> float:
+    """The chance that a bit of the fingerprints of two sets of this Jaccard similarity differs: their angle as a part of the half circle."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(similarity: float, bits: int, spread: float = SPREAD) -> int:
+    """The bits in which two fingerprints may differ: so many standard deviations above the mean at this similarity."""
+    p = bit_chance(similarity)
+    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+class Index(NamedTuple):
+    """Segments and their bits; 64-bit words of a fingerprint."""
+
+    segments: int
+    bits: int
+    words: int
+
+
+def index_for(n: int, similarity: float, chance: float = CHANCE) -> Index:
+    """The index for n documents: segments a few bits wider than the logarithm of n, and as many as it takes for a pair of this similarity to differ in at most
+    two bits of one of them with the wanted chance."""
+    bits = min(max(16, math.ceil(math.log2(max(n, 2))) + MORE_BITS), 56)
+    p = bit_chance(similarity)
+    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    segments = max(1, math.ceil(math.log(1 - chance) / math.log(1 - near))) if near < 1 else 1
+    return Index(segments, bits, -(-segments * bits // 64))
 
 
 def shingle_set(text: bytes | None, words_per_shingle: int, seed: int) -> np.ndarray:
@@ -195,32 +224,93 @@ def shingle_set(text: bytes | None, words_per_shingle: int, seed: int) -> np.nda
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def _bands(digests: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """A key for each band: sets of Jaccard similarity j share one with a chance of 1 - (1 - j ** BAND_ROWS) ** BANDS."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max)
-    for i in range(0, len(digests), 2048):
-        least = np.minimum(least, (digests[None, i : i + 2048] * factors[:, None]).min(1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for x in least.reshape(BANDS, BAND_ROWS).T:
-        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
-
+def segment_values(f: np.ndarray, index: Index) -> np.ndarray:
+    """The segments of fingerprints f (rows of words), one column each."""
+    out, mask = np.empty((len(f), index.segments), np.uint64), np.uint64((1 << index.bits) - 1)
+    for j in range(index.segments):
+        word, at = divmod(j * index.bits, 64)
+        value = f[:, word] >> np.uint64(at)
+        if at + index.bits > 64:
+            value = value | f[:, word + 1] << np.uint64(64 - at)
+        out[:, j] = value & mask
+    return out
 
-def _features(words_per_shingle: int, seed: int):
-    factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+def _features(words_per_shingle: int, seed: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, size, wide, bands = [], [], [], []
+            uid, size, wide = [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 x = shingle_set(text, words_per_shingle, seed)
                 uid.append(xxhash.xxh3_64_intdigest(x.tobytes()))
                 size.append(len(x))
-                wide.append(_majority((x[i : i + (1 << 16)] for i in range(0, len(x), 1 << 16)), WIDE))
-                bands.append(_bands(x, factors))
-            lists = [pa.array(list(np.array(v, np.uint64).view(np.int64)), pa.list_(pa.int64())) for v in (wide, bands)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(uid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *lists], ["doc_id", "th", "uid", "m", "f", "bands"])
+                wide.append(_majority((x[i : i + (1 << 16)] for i in range(0, len(x), 1 << 16)), words))
+            prints = pa.array(list(np.array(wide, np.uint64).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(uid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), prints], ["doc_id", "th", "uid", "m", "f"])
+
+    return run
+
+
+def _balls(index: Index, buckets: int):
+    """(bucket, key, uid, word): the balls of radius 1 around all segments of each fingerprint, packed by bucket of the key, each entry with a word of the fingerprint that
+    the segment isn't from (as far as there is one). Two segments at most 2 bits apart have a value in both their balls."""
+    flips = np.concatenate([[0], 1 << np.arange(index.bits)]).astype(np.uint64)
+    tags = (np.arange(index.segments) << index.bits).astype(np.uint64)
+    other = [(j * index.bits // 64 + 2) % index.words for j in range(index.segments)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids = batch.column(0).to_numpy(zero_copy_only=False)
+            prints = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, index.words)
+            for i in range(0, len(uids), BALL_ROWS):
+                f, uid = prints[i : i + BALL_ROWS], uids[i : i + BALL_ROWS]
+                key = ((segment_values(f, index)[:, :, None] ^ flips) | tags[None, :, None]).reshape(-1)
+                owner = np.repeat(np.arange(len(uid)), index.segments * len(flips))
+                word = np.broadcast_to(f[:, other][:, :, None], (len(f), index.segments, len(flips))).reshape(-1)
+                bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
+                packed = [pa.array([np.ascontiguousarray(v[at]).tobytes() for _, at in rows], pa.binary()) for v in (key, uid[owner], word)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *packed], ["bucket", "key", "uid", "word"])
+
+    return run
+
+
+def _meet(limit: int, small: int):
+    """What a bucket's keys have in common: (key, u, v) pairs whose words are near; and of crowded keys a pair of each row with one of them, and each row, as (key, u, null, word)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        key, uid, word = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("key", np.int64), ("uid", np.int64), ("word", np.uint64)))
+        order = np.lexsort((uid, key))
+        key, uid, word = key[order], uid[order], word[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.r_[first, len(key)])
+        found = []
+
+        def near(a: np.ndarray, b: np.ndarray) -> None:
+            keep = (np.bitwise_count(word[a] ^ word[b]) <= limit) & (uid[a] != uid[b])
+            found.append(np.column_stack([np.minimum(uid[a], uid[b])[keep], np.maximum(uid[a], uid[b])[keep]]))
+
+        many = np.repeat((size > 1) & (size <= small), size)
+        left = np.repeat(first + size, size) - np.arange(len(key))  # rows of the key from this one on
+        at = np.flatnonzero(many)
+        for d in range(1, small):
+            at = at[left[at] > d]
+            if not len(at):
+                break
+            near(at, at + d)
+        crowded = size > small
+        hot = np.flatnonzero(np.repeat(crowded, size))
+        # one row of the key, another one for each key
+        centre = first + (((key[first].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % np.maximum(size, 1))
+        near(hot, np.repeat(centre, size)[hot])
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        n = len(hot)
+        return pd.DataFrame({
+            "key": np.r_[np.zeros(len(pairs), np.int64), key[hot]], "u": np.r_[pairs[:, 0], uid[hot]], "v": np.r_[pairs[:, 1], np.zeros(n, np.int64)],
+            "word": np.r_[np.zeros(len(pairs), np.int64), word[hot].view(np.int64)], "hot": np.r_[np.zeros(len(pairs), bool), np.ones(n, bool)],
+        })
 
     return run
 
@@ -240,59 +330,69 @@ def _alike(pairs: DataFrame, each: DataFrame, docs: DataFrame, words_per_shingle
     """Of the pairs (u, v) those whose sets of shingles have at least this Jaccard similarity; the sets are made anew from one text each."""
     need = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
     texts = materialize(each.join(need, "uid", "left_semi").select(F.col("th").alias("g_th")), "simhash-compared")
-    if texts.count() <= BROADCAST_ROWS:
-        texts = F.broadcast(texts)
+    wanted = F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts
     text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("_th")).join(texts, F.col("_th") == F.col("g_th"), "left_semi").select("text")
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("_th")).join(wanted, F.col("_th").eqNullSafe(F.col("g_th")), "left_semi").select("text")
     sets = rows.mapInArrow(frugal(_sets(words_per_shingle, seed)), "uid long, s array<bigint>").dropDuplicates(["uid"])
     sets = materialize(sets, "simhash-sets")
     both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
-    return materialize(both.where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n"))).select("u", "v"), "simhash-alike")
+    out = materialize(both.where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n"))).select("u", "v"), "simhash-alike")
+    discard(sets, texts)
+    return out
 
 
-def similar_links(each: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
-    """(node, component) of the sets (each: uid, th, m: their size, f, bands) that links of at least this Jaccard similarity connect.
+def similar_links(each: DataFrame, docs: DataFrame, index: Index, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
+    """(node, component) of the sets (each: uid, th, m: their size, f: their fingerprint) that links of at least this Jaccard similarity connect.
 
-    Sets that share a band are candidates, those with near fingerprints are compared exactly. First each set is compared with one of each of its bands,
-    then all pairs of a band that this hasn't connected, so that a large group of copies isn't compared pair by pair.
+    Multi-index hashing: the balls of radius 1 around each segment of both fingerprints meet where the segments are at most 2 bits apart. Pairs that meet are verified by the
+    complete distance and then by their shingles. Of a key that very many sets share first each is compared with one of them, then those pairs that this
+    hasn't connected, in tiles, so that a large group of copies isn't compared pair by pair.
     """
-    # a band that only one set has gives nothing
-    keys = each.select("uid", F.explode("bands").alias("key"))
-    crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("uid", F.xxhash64("key", "uid")).alias("centre")).where("n > 1")
-    rows = materialize(keys.join(crowd, "key"), "simhash-bands")
+    n = each.count()
+    buckets = max(16, -(-n * index.segments * (index.bits + 1) // BUCKET_ENTRIES))
+    limit = most_bits(similarity, 64, WORD_SPREAD)
+    balls = each.select("uid", "f").mapInArrow(_balls(index, buckets), "bucket int, key binary, uid binary, word binary")
+    met = materialize(balls.groupBy("bucket").applyInPandas(_meet(limit, SMALL_KEY), "key long, u long, v long, word long, hot boolean"), "simhash-met")
     wide = lambda x: each.select(F.col("uid").alias(x), F.col("m").alias(f"m_{x}"), F.col("f").alias(f"f_{x}"))
-    differing = sum((F.bit_count(F.get("f_u", F.lit(i)).bitwiseXOR(F.get("f_v", F.lit(i)))) for i in range(WIDE)), F.lit(0))
+    differing = sum((F.bit_count(F.get("f_u", F.lit(i)).bitwiseXOR(F.get("f_v", F.lit(i)))) for i in range(index.words)), F.lit(0))
     # the smaller set can't be less than this part of the larger
     sized = F.least("m_u", "m_v") >= F.lit(similarity) * F.greatest("m_u", "m_v")
-    near = lambda pairs: materialize(pairs.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity))).select("u", "v"), "simhash-pairs")
+    near = lambda pairs: materialize(pairs.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v"), "simhash-pairs")
 
-    ordered = (F.least("uid", "centre").alias("u"), F.greatest("uid", "centre").alias("v"))
-    links = _alike(near(rows.where("uid <> centre").select(*ordered).distinct()), each, docs, words_per_shingle, similarity, seed)
+    links = _alike(near(met.where("not hot").select("u", "v").distinct()), each, docs, words_per_shingle, similarity, seed)
     joined = materialize(connected_components(links, "simhash-stars"), "simhash-stars")
-    rows = rows.join(joined, rows["uid"] == joined["node"], "left").select("uid", "key", "n", F.coalesce("component", "uid").alias("c"))
-    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    rows = met.where("hot").select("key", F.col("u").alias("uid"), "word")
+    rows = rows.join(joined, rows["uid"] == joined["node"], "left").select("uid", "key", "word", F.coalesce("component", "uid").alias("c"))
+    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
     k = F.ceil(F.col("n") / TILE_ROWS).cast("long")
-    # crowded bands are cut into tiles, each pair of which is a group
-    rows = rows.join(split, "key").select("uid", "key", "c", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
-    rows = rows.select("uid", "key", "c", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-    rows = materialize(rows.select("uid", "key", "c", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile")), "simhash-tiles")
-    left = rows.select("key", "tile", F.col("uid").alias("u"), F.col("c").alias("c_u"))
-    right = rows.select("key", "tile", F.col("uid").alias("v"), F.col("c").alias("c_v"))
-    rest = near(left.join(right, ["key", "tile"]).where("u < v and c_u <> c_v").select("u", "v").distinct())
+    # crowded keys are cut into tiles, each pair of which is a group
+    rows = rows.join(split, "key").select("uid", "key", "word", "c", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
+    rows = rows.select("uid", "key", "word", "c", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    rows = materialize(rows.select("uid", "key", "word", "c", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile")), "simhash-tiles")
+    side = lambda x: rows.select("key", "tile", *(F.col(c).alias(f"{c}_{x}") for c in ("uid", "word", "c")))
+    rest = side("u").join(side("v"), ["key", "tile"]).where((F.col("uid_u") < F.col("uid_v")) & (F.col("c_u") != F.col("c_v")) & (F.bit_count(F.col("word_u").bitwiseXOR(F.col("word_v"))) <= limit))
+    rest = near(rest.select(F.col("uid_u").alias("u"), F.col("uid_v").alias("v")).distinct())
     more = _alike(rest, each, docs, words_per_shingle, similarity, seed)
-    return connected_components(links.unionByName(more), "simhash-wide") if not more.isEmpty() else joined
+    out = joined if more.isEmpty() else connected_components(links.unionByName(more), "simhash-wide")
+    discard(met, rows, rest)
+    return out
 
 
 def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, th, class): th is the XXH64 of the text; rows of a class are linked by texts whose sets of shingles have at least
-    the Jaccard similarity `similarity`. Linked pairs are compared exactly; at 0.8 a pair is a candidate with a chance of 0.9999."""
+    the Jaccard similarity `similarity` (0.8 or more). Linked pairs are compared exactly; a pair of just this similarity is a candidate with a chance of CHANCE, a more similar one with a greater one.
+
+    Rows that repeat a doc_id or a text are kept; texts that are null or without words are one class; texts of any length are taken whole; a null doc_id is kept;
+    columns besides the two are ignored, whatever their names; an empty table gives no rows.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
-    fps = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(frugal(_features(words_per_shingle, seed)), f"doc_id {kind}, th long, uid long, m long, f array<bigint>, bands array<bigint>")
+    index = index_for(docs.count(), similarity)
+    fps = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(frugal(_features(words_per_shingle, seed, index.words)), f"doc_id {kind}, th long, uid long, m long, f array<bigint>")
     fps = materialize(fps, "simhash-wide")
-    each = materialize(fps.groupBy("uid").agg(F.min("th").alias("th"), F.first("m").alias("m"), F.first("f").alias("f"), F.first("bands").alias("bands")), "simhash-wide-each")
-    links = similar_links(each, docs, words_per_shingle, similarity, seed)
+    each = materialize(fps.groupBy("uid").agg(F.min("th").alias("th"), F.first("m").alias("m"), F.first("f").alias("f")), "simhash-wide-each")
+    links = similar_links(each, docs, index, words_per_shingle, similarity, seed)
     named = materialize(each.select("uid").join(links, each["uid"] == links["node"], "left").select("uid", F.coalesce("component", "uid").alias("class")), "simhash-wide-class")
     return fps.select("doc_id", "th", "uid").join(named, "uid").select("doc_id", "th", "class")
 
@@ -300,7 +400,8 @@ def similar_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: floa
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest (doc_id, text hash), nulls last; all columns stay.
 
-    Of equal rows one stays. Texts that are null, or without words, are one group. Texts are not shuffled unless very many rows go.
+    Of equal rows one stays. Texts that are null, or without words, are one group. Null doc_ids, very long texts, other columns of any name and an empty table as in
+    similar_groups(). Texts are not shuffled unless very many rows go.
     """
     groups = materialize(similar_groups(docs, words_per_shingle, similarity, seed), "simhash-groups")
     rank = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th")
