@@ -182,7 +182,7 @@ SPREAD, WORD_SPREAD = 6, 4
 #: Bits of a segment beyond the logarithm of the number of documents, so that chance matches grow in proportion to these; documents whose balls are made at a time.
 MORE_BITS, BALL_ROWS = 3, 2_048
 #: Ball entries of a bucket, and rows of a key up to which all its pairs are compared at once.
-BUCKET_ENTRIES, SMALL_KEY = 1 << 21, 64
+BUCKET_ENTRIES, SMALL_KEY = 1 << 18, 64
 #: Documents whose shingles a worker sends on at a time.
 SET_ROWS = 128
 #: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
