@@ -181,8 +181,8 @@ CHANCE = 0.99
 SPREAD, WORD_SPREAD = 6, 4
 #: Bits of a segment beyond the logarithm of the number of documents, so that chance matches grow in proportion to these; documents whose balls are made at a time.
 MORE_BITS, BALL_ROWS = 3, 2_048
-#: Ball entries of a bucket, and rows of a key up to which all its pairs are compared at once.
-BUCKET_ENTRIES, SMALL_KEY = 1 << 18, 64
+#: Ball entries of a bucket; rows of a key up to which all its pairs are compared at once, and up to which what is left of a crowded key is compared in one task.
+BUCKET_ENTRIES, SMALL_KEY, TILED_KEY = 1 << 18, 64, 1 << 15
 #: Documents whose shingles a worker sends on at a time.
 SET_ROWS = 128
 #: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
@@ -252,18 +252,19 @@ def _features(words_per_shingle: int, seed: int, words: int):
 
 
 def _balls(index: Index, buckets: int):
-    """(bucket, key, uid, word): the balls of radius 1 around all segments of each fingerprint, packed by bucket of the key, each entry with a word of the fingerprint that
-    the segment isn't from (as far as there is one). Two segments at most 2 bits apart have a value in both their balls."""
+    """(bucket, key, uid, word, c): the balls of radius 1 around all segments of each fingerprint (uid, f, c), packed by bucket of the key, each entry with a word of the fingerprint
+    that the segment isn't from (as far as there is one). Two segments at most 2 bits apart have a value in both their balls."""
     flips = np.concatenate([[0], 1 << np.arange(index.bits)]).astype(np.uint64)
     tags = (np.arange(index.segments) << index.bits).astype(np.uint64)
     other = [(j * index.bits // 64 + 2) % index.words for j in range(index.segments)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids = batch.column(0).to_numpy(zero_copy_only=False)
+            uids, given = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).null_count == 0
+            classes = batch.column(2).to_numpy(zero_copy_only=False) if given else uids
             prints = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, index.words)
             for i in range(0, len(uids), BALL_ROWS):
-                f, uid = prints[i : i + BALL_ROWS], uids[i : i + BALL_ROWS]
+                f, uid, c = prints[i : i + BALL_ROWS], uids[i : i + BALL_ROWS], classes[i : i + BALL_ROWS]
                 key = ((segment_values(f, index)[:, :, None] ^ flips) | tags[None, :, None]).reshape(-1)
                 owner = np.repeat(np.arange(len(uid)), index.segments * len(flips))
                 word = np.broadcast_to(f[:, other][:, :, None], (len(f), index.segments, len(flips))).reshape(-1)
@@ -272,45 +273,81 @@ def _balls(index: Index, buckets: int):
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
                 packed = [pa.array([np.ascontiguousarray(v[at]).tobytes() for _, at in rows], pa.binary()) for v in (key, uid[owner], word)]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *packed], ["bucket", "key", "uid", "word"])
+                packed.append(pa.array([c[owner[at]].tobytes() if given else b"" for _, at in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *packed], ["bucket", "key", "uid", "word", "c"])
 
     return run
 
 
+def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """key, uid, word and c of a bucket, sorted by key and uid, and where each key begins and how many rows it has."""
+    entries = [np.frombuffer(b"".join(rows[x]), np.uint64 if x == "word" else np.int64) for x in ("key", "uid", "word", "c")]
+    order = np.lexsort((entries[1], entries[0]))
+    entries = [x[order] if len(x) else x for x in entries]  # c is empty where it isn't known
+    key = entries[0]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return *entries, first, np.diff(np.r_[first, len(key)])
+
+
+def _pairs(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+
 def _meet(limit: int, small: int):
-    """What a bucket's keys have in common: (key, u, v) pairs whose words are near; and of crowded keys a pair of each row with one of them, and each row, as (key, u, null, word)."""
+    """What a bucket's keys have in common: (u, v) pairs whose words are near: all of small keys, and of each crowded key each row with one of them. The rows of crowded keys stand there
+    once more, as pairs of their own."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, uid, word = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("key", np.int64), ("uid", np.int64), ("word", np.uint64)))
-        order = np.lexsort((uid, key))
-        key, uid, word = key[order], uid[order], word[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.r_[first, len(key)])
+        key, uid, word, _, first, size = _entries(rows)
         found = []
 
         def near(a: np.ndarray, b: np.ndarray) -> None:
             keep = (np.bitwise_count(word[a] ^ word[b]) <= limit) & (uid[a] != uid[b])
             found.append(np.column_stack([np.minimum(uid[a], uid[b])[keep], np.maximum(uid[a], uid[b])[keep]]))
 
-        many = np.repeat((size > 1) & (size <= small), size)
         left = np.repeat(first + size, size) - np.arange(len(key))  # rows of the key from this one on
-        at = np.flatnonzero(many)
+        at = np.flatnonzero(np.repeat((size > 1) & (size <= small), size))
         for d in range(1, small):
             at = at[left[at] > d]
             if not len(at):
                 break
             near(at, at + d)
-        crowded = size > small
-        hot = np.flatnonzero(np.repeat(crowded, size))
+        hot = np.flatnonzero(np.repeat(size > small, size))
         # one row of the key, another one for each key
         centre = first + (((key[first].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % np.maximum(size, 1))
         near(hot, np.repeat(centre, size)[hot])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        n = len(hot)
-        return pd.DataFrame({
-            "key": np.r_[np.zeros(len(pairs), np.int64), key[hot]], "u": np.r_[pairs[:, 0], uid[hot]], "v": np.r_[pairs[:, 1], np.zeros(n, np.int64)],
-            "word": np.r_[np.zeros(len(pairs), np.int64), word[hot].view(np.int64)], "hot": np.r_[np.zeros(len(pairs), bool), np.ones(n, bool)],
-        })
+        own = np.unique(uid[hot])
+        out = np.concatenate([_pairs(found), np.column_stack([own, own])])
+        return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
+
+    return run
+
+
+def _apart(limit: int, small: int, tiled: int):
+    """(u, v) pairs of a bucket's crowded keys whose words are near and whose components differ; the rows of keys with more than `tiled` of them are given as (key, u, null,
+    word, c) instead."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        key, uid, word, c, first, size = _entries(rows)
+        found, large = [], []
+        for a, n in zip(first[size > small].tolist(), size[size > small].tolist()):
+            own = slice(a, a + n)
+            classes, which, count = np.unique(c[own], return_inverse=True, return_counts=True)
+            if len(classes) == 1:
+                continue
+            if n > tiled:
+                large.append(np.arange(a, a + n))
+                continue
+            odd = a + np.flatnonzero(which != count.argmax())  # pairs within the largest component are connected
+            for i in range(0, len(odd), 256):
+                some = odd[i : i + 256]
+                r, k = np.nonzero((np.bitwise_count(word[some, None] ^ word[None, own]) <= limit) & (c[some, None] != c[None, own]))
+                u, v = uid[some[r]], uid[own][k]
+                found.append(np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0))
+        pairs, at = _pairs(found), np.concatenate(large) if large else np.empty(0, np.int64)
+        none = np.zeros(len(pairs), np.int64)
+        tile = np.r_[np.zeros(len(pairs), bool), np.ones(len(at), bool)]
+        return pd.DataFrame({"key": np.r_[none, key[at]], "u": np.r_[pairs[:, 0], uid[at]], "v": np.r_[pairs[:, 1], np.zeros(len(at), np.int64)], "word": np.r_[none, word[at].view(np.int64)], "c": np.r_[none, c[at]], "tile": tile})
 
     return run
 
@@ -352,30 +389,35 @@ def similar_links(each: DataFrame, docs: DataFrame, index: Index, words_per_shin
     n = each.count()
     buckets = max(16, -(-n * index.segments * (index.bits + 1) // BUCKET_ENTRIES))
     limit = most_bits(similarity, 64, WORD_SPREAD)
-    balls = each.select("uid", "f").mapInArrow(_balls(index, buckets), "bucket int, key binary, uid binary, word binary")
-    met = materialize(balls.groupBy("bucket").applyInPandas(_meet(limit, SMALL_KEY), "key long, u long, v long, word long, hot boolean"), "simhash-met")
+    packed = "bucket int, key binary, uid binary, word binary, c binary"
+    balls = each.select("uid", "f", F.lit(None).cast("long").alias("c")).mapInArrow(_balls(index, buckets), packed)
+    met = materialize(balls.groupBy("bucket").applyInPandas(_meet(limit, SMALL_KEY), "u long, v long").distinct(), "simhash-met")
     wide = lambda x: each.select(F.col("uid").alias(x), F.col("m").alias(f"m_{x}"), F.col("f").alias(f"f_{x}"))
     differing = sum((F.bit_count(F.get("f_u", F.lit(i)).bitwiseXOR(F.get("f_v", F.lit(i)))) for i in range(index.words)), F.lit(0))
     # the smaller set can't be less than this part of the larger
     sized = F.least("m_u", "m_v") >= F.lit(similarity) * F.greatest("m_u", "m_v")
     near = lambda pairs: materialize(pairs.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v"), "simhash-pairs")
 
-    links = _alike(near(met.where("not hot").select("u", "v").distinct()), each, docs, words_per_shingle, similarity, seed)
+    links = _alike(near(met.where("u <> v")), each, docs, words_per_shingle, similarity, seed)
     joined = materialize(connected_components(links, "simhash-stars"), "simhash-stars")
-    rows = met.where("hot").select("key", F.col("u").alias("uid"), "word")
-    rows = rows.join(joined, rows["uid"] == joined["node"], "left").select("uid", "key", "word", F.coalesce("component", "uid").alias("c"))
-    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    # once more the balls of what crowded keys hold, with the components: all members of a crowded key are here
+    crowd = each.join(met.where("u = v").select(F.col("u").alias("uid")), "uid", "left_semi").select("uid", "f")
+    crowd = materialize(crowd.join(joined, crowd["uid"] == joined["node"], "left").select("uid", "f", F.coalesce("component", "uid").alias("c")), "simhash-crowd")
+    again = crowd.mapInArrow(_balls(index, buckets), packed).groupBy("bucket")
+    apart = materialize(again.applyInPandas(_apart(limit, SMALL_KEY, TILED_KEY), "key long, u long, v long, word long, c long, tile boolean"), "simhash-apart")
+    # very crowded keys are cut into tiles, each pair of which is a group
+    rows = apart.where("tile").select("key", F.col("u").alias("uid"), "word", "c")
     k = F.ceil(F.col("n") / TILE_ROWS).cast("long")
-    # crowded keys are cut into tiles, each pair of which is a group
-    rows = rows.join(split, "key").select("uid", "key", "word", "c", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
+    rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("uid", "key", "word", "c", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
     rows = rows.select("uid", "key", "word", "c", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-    rows = materialize(rows.select("uid", "key", "word", "c", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile")), "simhash-tiles")
+    rows = rows.select("uid", "key", "word", "c", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile"))
     side = lambda x: rows.select("key", "tile", *(F.col(c).alias(f"{c}_{x}") for c in ("uid", "word", "c")))
-    rest = side("u").join(side("v"), ["key", "tile"]).where((F.col("uid_u") < F.col("uid_v")) & (F.col("c_u") != F.col("c_v")) & (F.bit_count(F.col("word_u").bitwiseXOR(F.col("word_v"))) <= limit))
-    rest = near(rest.select(F.col("uid_u").alias("u"), F.col("uid_v").alias("v")).distinct())
+    tiles = side("u").join(side("v"), ["key", "tile"]).where((F.col("uid_u") < F.col("uid_v")) & (F.col("c_u") != F.col("c_v")) & (F.bit_count(F.col("word_u").bitwiseXOR(F.col("word_v"))) <= limit))
+    rest = apart.where("not tile").select("u", "v").unionByName(tiles.select(F.col("uid_u").alias("u"), F.col("uid_v").alias("v")))
+    rest = near(rest.distinct())
     more = _alike(rest, each, docs, words_per_shingle, similarity, seed)
     out = joined if more.isEmpty() else connected_components(links.unionByName(more), "simhash-wide")
-    discard(met, rows, rest)
+    discard(met, crowd, apart, rest)
     return out
 
 
@@ -405,9 +447,11 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.
     """
     groups = materialize(similar_groups(docs, words_per_shingle, similarity, seed), "simhash-groups")
     rank = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th")
-    first = groups.groupBy("class").agg(F.min(rank).alias("first"))
-    each = groups.groupBy("class", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    each = materialize(each.join(first, "class").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "n", (rank == F.col("first")).alias("stays")).where("n > 1 or not stays"), "simhash-gone")
+    # what stays is looked up by document, so that a large class meets nowhere but in partial minima
+    first = groups.groupBy("class").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"))
+    each = groups.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "n", F.col("f_th").isNotNull().alias("stays"))
+    each = materialize(each.where("n > 1 or not stays"), "simhash-gone")
     gone, twice = each.select("g_id", "g_th"), each.where("stays").select("g_id", "g_th")
     if each.count() <= BROADCAST_ROWS:
         gone, twice = F.broadcast(gone), F.broadcast(twice)
