@@ -181,8 +181,8 @@ CHANCE = 0.99
 SPREAD, WORD_SPREAD = 6, 4
 #: Bits of a segment beyond the logarithm of the number of documents, so that chance matches grow in proportion to these; documents whose balls are made at a time.
 MORE_BITS, BALL_ROWS = 3, 2_048
-#: Ball entries of a bucket; rows of a key up to which all its pairs are compared at once, and up to which what is left of a crowded key is compared in one task.
-BUCKET_ENTRIES, SMALL_KEY, TILED_KEY = 1 << 18, 64, 1 << 15
+#: Ball entries of a bucket; rows of a key up to which all its pairs are compared at once; sets of a tile of a crowd.
+BUCKET_ENTRIES, SMALL_KEY, CROWD_TILE = 1 << 18, 64, 512
 #: Documents whose shingles a worker sends on at a time.
 SET_ROWS = 128
 #: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
@@ -252,19 +252,18 @@ def _features(words_per_shingle: int, seed: int, words: int):
 
 
 def _balls(index: Index, buckets: int):
-    """(bucket, key, uid, word, c): the balls of radius 1 around all segments of each fingerprint (uid, f, c), packed by bucket of the key, each entry with a word of the fingerprint
-    that the segment isn't from (as far as there is one). Two segments at most 2 bits apart have a value in both their balls."""
+    """(bucket, key, uid, word): the balls of radius 1 around all segments of each fingerprint (uid, f), packed by bucket of the key, each entry with a word of the fingerprint that
+    the segment isn't from (as far as there is one). Two segments at most 2 bits apart have a value in both their balls."""
     flips = np.concatenate([[0], 1 << np.arange(index.bits)]).astype(np.uint64)
     tags = (np.arange(index.segments) << index.bits).astype(np.uint64)
     other = [(j * index.bits // 64 + 2) % index.words for j in range(index.segments)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, given = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).null_count == 0
-            classes = batch.column(2).to_numpy(zero_copy_only=False) if given else uids
+            uids = batch.column(0).to_numpy(zero_copy_only=False)
             prints = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, index.words)
             for i in range(0, len(uids), BALL_ROWS):
-                f, uid, c = prints[i : i + BALL_ROWS], uids[i : i + BALL_ROWS], classes[i : i + BALL_ROWS]
+                f, uid = prints[i : i + BALL_ROWS], uids[i : i + BALL_ROWS]
                 key = ((segment_values(f, index)[:, :, None] ^ flips) | tags[None, :, None]).reshape(-1)
                 owner = np.repeat(np.arange(len(uid)), index.segments * len(flips))
                 word = np.broadcast_to(f[:, other][:, :, None], (len(f), index.segments, len(flips))).reshape(-1)
@@ -273,81 +272,77 @@ def _balls(index: Index, buckets: int):
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
                 packed = [pa.array([np.ascontiguousarray(v[at]).tobytes() for _, at in rows], pa.binary()) for v in (key, uid[owner], word)]
-                packed.append(pa.array([c[owner[at]].tobytes() if given else b"" for _, at in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *packed], ["bucket", "key", "uid", "word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *packed], ["bucket", "key", "uid", "word"])
 
     return run
 
 
-def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """key, uid, word and c of a bucket, sorted by key and uid, and where each key begins and how many rows it has."""
-    entries = [np.frombuffer(b"".join(rows[x]), np.uint64 if x == "word" else np.int64) for x in ("key", "uid", "word", "c")]
-    order = np.lexsort((entries[1], entries[0]))
-    entries = [x[order] if len(x) else x for x in entries]  # c is empty where it isn't known
-    key = entries[0]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return *entries, first, np.diff(np.r_[first, len(key)])
-
-
-def _pairs(found: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-
-
 def _meet(limit: int, small: int):
-    """What a bucket's keys have in common: (u, v) pairs whose words are near: all of small keys, and of each crowded key each row with one of them. The rows of crowded keys stand there
-    once more, as pairs of their own."""
+    """(u, v, hot): pairs with a common key whose words are near. Of small keys all; of each crowded key (hot) each row with one of them, and what isn't near that one with all that it is
+    near to, as stars: so they are connected as all near pairs would be."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, uid, word, _, first, size = _entries(rows)
-        found = []
+        key, uid, word = (np.frombuffer(b"".join(rows[x]), np.uint64 if x == "word" else np.int64) for x in ("key", "uid", "word"))
+        order = np.lexsort((uid, key))
+        key, uid, word = key[order], uid[order], word[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.r_[first, len(key)])
+        found = [np.empty((0, 3), np.int64)]
 
-        def near(a: np.ndarray, b: np.ndarray) -> None:
-            keep = (np.bitwise_count(word[a] ^ word[b]) <= limit) & (uid[a] != uid[b])
-            found.append(np.column_stack([np.minimum(uid[a], uid[b])[keep], np.maximum(uid[a], uid[b])[keep]]))
+        def put(a: np.ndarray, b: np.ndarray, hot: int) -> None:
+            found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), hot)]), axis=0))
 
+        near = lambda a, b: (np.bitwise_count(word[a] ^ word[b]) <= limit) & (uid[a] != uid[b])
         left = np.repeat(first + size, size) - np.arange(len(key))  # rows of the key from this one on
         at = np.flatnonzero(np.repeat((size > 1) & (size <= small), size))
         for d in range(1, small):
             at = at[left[at] > d]
             if not len(at):
                 break
-            near(at, at + d)
-        hot = np.flatnonzero(np.repeat(size > small, size))
-        # one row of the key, another one for each key
-        centre = first + (((key[first].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % np.maximum(size, 1))
-        near(hot, np.repeat(centre, size)[hot])
-        own = np.unique(uid[hot])
-        out = np.concatenate([_pairs(found), np.column_stack([own, own])])
-        return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
+            some = at[near(at, at + d)]
+            put(uid[some], uid[some + d], 0)
+        for a, n in zip(first[size > small].tolist(), size[size > small].tolist()):
+            own = np.arange(a, a + n)
+            centre = np.full(n, a + int(xxhash.xxh3_64_intdigest(key[a].tobytes()) % n))  # another one for each key
+            close = near(own, centre)
+            put(uid[own[close]], uid[centre[close]], 1)
+            odd, x, y = own[~close], np.empty(0, np.int64), np.empty(0, np.int64)
+            for i in range(0, len(odd), 256):
+                some = odd[i : i + 256]
+                r, c = np.nonzero((np.bitwise_count(word[some, None] ^ word[None, a : a + n]) <= limit) & (uid[some, None] != uid[None, a : a + n]))
+                x, y = forest(np.concatenate([x, uid[some[r]]]), np.concatenate([y, uid[a + c]]))
+            put(x, y, 1)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "hot": pairs[:, 2].astype(bool)})
 
     return run
 
 
-def _apart(limit: int, small: int, tiled: int):
-    """(u, v) pairs of a bucket's crowded keys whose words are near and whose components differ; the rows of keys with more than `tiled` of them are given as (key, u, null,
-    word, c) instead."""
+def _exact(similarity: float, columns: int = 4_096):
+    """The links between the sets (uid, c, s) of a tile as stars, between different components c only: numbers of common shingles as products of matrices."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, uid, word, c, first, size = _entries(rows)
-        found, large = [], []
-        for a, n in zip(first[size > small].tolist(), size[size > small].tolist()):
-            own = slice(a, a + n)
-            classes, which, count = np.unique(c[own], return_inverse=True, return_counts=True)
-            if len(classes) == 1:
-                continue
-            if n > tiled:
-                large.append(np.arange(a, a + n))
-                continue
-            odd = a + np.flatnonzero(which != count.argmax())  # pairs within the largest component are connected
-            for i in range(0, len(odd), 256):
-                some = odd[i : i + 256]
-                r, k = np.nonzero((np.bitwise_count(word[some, None] ^ word[None, own]) <= limit) & (c[some, None] != c[None, own]))
-                u, v = uid[some[r]], uid[own][k]
-                found.append(np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0))
-        pairs, at = _pairs(found), np.concatenate(large) if large else np.empty(0, np.int64)
-        none = np.zeros(len(pairs), np.int64)
-        tile = np.r_[np.zeros(len(pairs), bool), np.ones(len(at), bool)]
-        return pd.DataFrame({"key": np.r_[none, key[at]], "u": np.r_[pairs[:, 0], uid[at]], "v": np.r_[pairs[:, 1], np.zeros(len(at), np.int64)], "word": np.r_[none, word[at].view(np.int64)], "c": np.r_[none, c[at]], "tile": tile})
+        rows = rows.drop_duplicates("uid")
+        uid, c, n = rows["uid"].to_numpy(), rows["c"].to_numpy(), len(rows)
+        size = np.array([len(x) for x in rows["s"]], np.int64)
+        owner = np.repeat(np.arange(n), size)
+        _, column, times = np.unique(np.concatenate([np.empty(0, np.int64), *rows["s"]]), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1  # what one set only has is in no intersection
+        keep = times[column] > 1
+        owner, column = owner[keep], shared[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((n, n), np.float32)
+        last = int(column[-1]) + 1 if len(column) else 0
+        for lo in range(0, last, columns):
+            a, b = np.searchsorted(column, [lo, lo + columns])
+            x = np.zeros((n, min(columns, last - lo)), np.float32)
+            x[owner[a:b], column[a:b] - lo] = 1
+            common += x @ x.T
+        alike = common >= similarity * (size[:, None] + size[None, :] - common)
+        r, k = np.nonzero(np.triu(alike & (c[:, None] != c[None, :]), 1))
+        u, v = forest(uid[r], uid[k])
+        return pd.DataFrame({"u": u, "v": v})
 
     return run
 
@@ -363,19 +358,25 @@ def _sets(words_per_shingle: int, seed: int):
     return run
 
 
-def _alike(pairs: DataFrame, each: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
-    """Of the pairs (u, v) those whose sets of shingles have at least this Jaccard similarity; the sets are made anew from one text each."""
-    need = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
-    texts = materialize(each.join(need, "uid", "left_semi").select(F.col("th").alias("g_th")), "simhash-compared")
+def _shingles_of(uids: DataFrame, each: DataFrame, docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
+    """(uid, s): the sets of these (uid), made anew from one text each."""
+    texts = materialize(each.join(uids, "uid", "left_semi").select(F.col("th").alias("g_th")), "simhash-compared")
     wanted = F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts
     text = F.col("text").cast("string")
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("_th")).join(wanted, F.col("_th").eqNullSafe(F.col("g_th")), "left_semi").select("text")
-    sets = rows.mapInArrow(frugal(_sets(words_per_shingle, seed)), "uid long, s array<bigint>").dropDuplicates(["uid"])
-    sets = materialize(sets, "simhash-sets")
+    sets = materialize(rows.mapInArrow(frugal(_sets(words_per_shingle, seed)), "uid long, s array<bigint>").dropDuplicates(["uid"]), "simhash-sets")
+    discard(texts)
+    return sets
+
+
+def _alike(pairs: DataFrame, each: DataFrame, docs: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
+    """Of the pairs (u, v) those whose sets of shingles have at least this Jaccard similarity."""
+    need = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
+    sets = _shingles_of(need, each, docs, words_per_shingle, seed)
     both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
     out = materialize(both.where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n"))).select("u", "v"), "simhash-alike")
-    discard(sets, texts)
+    discard(sets)
     return out
 
 
@@ -383,41 +384,39 @@ def similar_links(each: DataFrame, docs: DataFrame, index: Index, words_per_shin
     """(node, component) of the sets (each: uid, th, m: their size, f: their fingerprint) that links of at least this Jaccard similarity connect.
 
     Multi-index hashing: the balls of radius 1 around each segment of both fingerprints meet where the segments are at most 2 bits apart. Pairs that meet are verified by the
-    complete distance and then by their shingles. Of a key that very many sets share first each is compared with one of them, then those pairs that this
-    hasn't connected, in tiles, so that a large group of copies isn't compared pair by pair.
+    complete distance and then by their shingles. Of a key that very many sets share first each is compared with one of them; crowds that this hasn't connected are
+    compared exactly in tiles of sets, which return links as stars, so that no pair of a large group is a row.
     """
     n = each.count()
     buckets = max(16, -(-n * index.segments * (index.bits + 1) // BUCKET_ENTRIES))
     limit = most_bits(similarity, 64, WORD_SPREAD)
-    packed = "bucket int, key binary, uid binary, word binary, c binary"
-    balls = each.select("uid", "f", F.lit(None).cast("long").alias("c")).mapInArrow(_balls(index, buckets), packed)
-    met = materialize(balls.groupBy("bucket").applyInPandas(_meet(limit, SMALL_KEY), "u long, v long").distinct(), "simhash-met")
+    balls = each.select("uid", "f").mapInArrow(_balls(index, buckets), "bucket int, key binary, uid binary, word binary")
+    met = balls.groupBy("bucket").applyInPandas(_meet(limit, SMALL_KEY), "u long, v long, hot boolean")
+    met = materialize(met.groupBy("u", "v").agg(F.max("hot").alias("hot")), "simhash-met")
     wide = lambda x: each.select(F.col("uid").alias(x), F.col("m").alias(f"m_{x}"), F.col("f").alias(f"f_{x}"))
     differing = sum((F.bit_count(F.get("f_u", F.lit(i)).bitwiseXOR(F.get("f_v", F.lit(i)))) for i in range(index.words)), F.lit(0))
     # the smaller set can't be less than this part of the larger
     sized = F.least("m_u", "m_v") >= F.lit(similarity) * F.greatest("m_u", "m_v")
-    near = lambda pairs: materialize(pairs.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v"), "simhash-pairs")
-
-    links = _alike(near(met.where("u <> v")), each, docs, words_per_shingle, similarity, seed)
+    near = met.select("u", "v").join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v")
+    near = materialize(near, "simhash-pairs")
+    links = _alike(near, each, docs, words_per_shingle, similarity, seed)
     joined = materialize(connected_components(links, "simhash-stars"), "simhash-stars")
-    # once more the balls of what crowded keys hold, with the components: all members of a crowded key are here
-    crowd = each.join(met.where("u = v").select(F.col("u").alias("uid")), "uid", "left_semi").select("uid", "f")
-    crowd = materialize(crowd.join(joined, crowd["uid"] == joined["node"], "left").select("uid", "f", F.coalesce("component", "uid").alias("c")), "simhash-crowd")
-    again = crowd.mapInArrow(_balls(index, buckets), packed).groupBy("bucket")
-    apart = materialize(again.applyInPandas(_apart(limit, SMALL_KEY, TILED_KEY), "key long, u long, v long, word long, c long, tile boolean"), "simhash-apart")
-    # very crowded keys are cut into tiles, each pair of which is a group
-    rows = apart.where("tile").select("key", F.col("u").alias("uid"), "word", "c")
-    k = F.ceil(F.col("n") / TILE_ROWS).cast("long")
-    rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("uid", "key", "word", "c", k.alias("k"), F.pmod(F.xxhash64("uid"), k).alias("i"))
-    rows = rows.select("uid", "key", "word", "c", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-    rows = rows.select("uid", "key", "word", "c", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile"))
-    side = lambda x: rows.select("key", "tile", *(F.col(c).alias(f"{c}_{x}") for c in ("uid", "word", "c")))
-    tiles = side("u").join(side("v"), ["key", "tile"]).where((F.col("uid_u") < F.col("uid_v")) & (F.col("c_u") != F.col("c_v")) & (F.bit_count(F.col("word_u").bitwiseXOR(F.col("word_v"))) <= limit))
-    rest = apart.where("not tile").select("u", "v").unionByName(tiles.select(F.col("uid_u").alias("u"), F.col("uid_v").alias("v")))
-    rest = near(rest.distinct())
-    more = _alike(rest, each, docs, words_per_shingle, similarity, seed)
+    # sets that crowded keys connect, as far as the links so far don't: a crowd's tiles of sets are compared with one another
+    crowds = connected_components(met.where("hot").select("u", "v"), "simhash-crowds").select(F.col("node").alias("uid"), F.col("component").alias("crowd"))
+    crowds = materialize(crowds.join(joined, crowds["uid"] == joined["node"], "left").select("uid", "crowd", F.coalesce("component", "uid").alias("c")), "simhash-crowds")
+    mixed = crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("crowd", F.ceil(F.col("n") / CROWD_TILE).cast("long").alias("k"))
+    crowds = materialize(crowds.join(mixed, "crowd"), "simhash-mixed")
+    if crowds.isEmpty():
+        discard(met, near)
+        return joined
+    sets = _shingles_of(crowds.select("uid"), each, docs, words_per_shingle, seed)
+    # a tile meets each other tile once: group (i, j), i <= j
+    rows = crowds.join(sets, "uid").select("uid", "crowd", "c", "s", "k", F.pmod(F.xxhash64("uid"), F.col("k")).alias("i"))
+    rows = rows.select("uid", "crowd", "c", "s", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    rows = rows.select("uid", "crowd", "c", "s", (F.least("i", "j") * F.col("k") + F.greatest("i", "j")).alias("tile"))
+    more = materialize(rows.groupBy("crowd", "tile").applyInPandas(lambda x: _exact(similarity)(x[["uid", "c", "s"]]), "u long, v long"), "simhash-more")
     out = joined if more.isEmpty() else connected_components(links.unionByName(more), "simhash-wide")
-    discard(met, crowd, apart, rest)
+    discard(met, near, crowds, sets)
     return out
 
 

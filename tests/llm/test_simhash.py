@@ -146,12 +146,11 @@ def shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("tile, small, tiled, bits", [(4096, 64, 1 << 15, 3), (8, 4, 1 << 15, 3), (8, 2, 10, 3), (8, 2, 1, 12)])
-def test_similar_groups_by_brute_force(spark, monkeypatch, tile, small, tiled, bits):
+@pytest.mark.parametrize("tile, small, bits", [(512, 64, 3), (8, 4, 3), (5, 2, 3), (8, 2, 12)])
+def test_similar_groups_by_brute_force(spark, monkeypatch, tile, small, bits):
     """Pairs of a similarity from 0.7 to 0.95, a chain and a large group against all pairs compared."""
-    monkeypatch.setattr(S, "TILE_ROWS", tile)
+    monkeypatch.setattr(S, "CROWD_TILE", tile)
     monkeypatch.setattr(S, "SMALL_KEY", small)
-    monkeypatch.setattr(S, "TILED_KEY", tiled)
     monkeypatch.setattr(S, "MORE_BITS", bits)
     rng = random.Random(9)
     fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
