@@ -303,7 +303,8 @@ def _meet(limit: int, small: int):
             put(uid[some], uid[some + d], 0)
         for a, n in zip(first[size > small].tolist(), size[size > small].tolist()):
             own = np.arange(a, a + n)
-            centre = np.full(n, a + int(xxhash.xxh3_64_intdigest(key[a].tobytes()) % n))  # another one for each key
+            # the row with the least mixed uid, so that keys of the same crowd have the same few centres
+            centre = np.full(n, a + int((uid[own].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).argmin()))
             close = near(own, centre)
             put(uid[own[close]], uid[centre[close]], 1)
             odd, x, y = own[~close], np.empty(0, np.int64), np.empty(0, np.int64)
