@@ -182,7 +182,7 @@ SPREAD, WORD_SPREAD = 6, 4
 #: Bits of a segment beyond the logarithm of the number of documents, so that chance matches grow in proportion to these; documents whose balls are made at a time.
 MORE_BITS, BALL_ROWS = 3, 2_048
 #: Ball entries of a bucket; rows of a key up to which all its pairs are compared at once; sets of a tile of a crowd.
-BUCKET_ENTRIES, SMALL_KEY, CROWD_TILE = 1 << 18, 64, 512
+BUCKET_ENTRIES, SMALL_KEY, CROWD_TILE = 1 << 18, 16, 512
 #: Documents whose shingles a worker sends on at a time.
 SET_ROWS = 128
 #: Rows that go, up to which their keys are broadcast (16 bytes each); a shuffled join beyond it.
@@ -278,8 +278,8 @@ def _balls(index: Index, buckets: int):
 
 
 def _meet(limit: int, small: int):
-    """(u, v, hot): pairs with a common key whose words are near. Of small keys all; of each crowded key (hot) each row with one of them, and what isn't near that one with all that it is
-    near to, as stars: so they are connected as all near pairs would be."""
+    """(u, v, hot): pairs with a common key whose words are near. Of small keys all; of the crowded keys (hot) stars that connect what all their near pairs would connect: each
+    row meets one of its key, and what isn't near that one all others."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         key, uid, word = (np.frombuffer(b"".join(rows[x]), np.uint64 if x == "word" else np.int64) for x in ("key", "uid", "word"))
@@ -301,18 +301,19 @@ def _meet(limit: int, small: int):
                 break
             some = at[near(at, at + d)]
             put(uid[some], uid[some + d], 0)
+        x = y = np.empty(0, np.int64)
         for a, n in zip(first[size > small].tolist(), size[size > small].tolist()):
             own = np.arange(a, a + n)
             # the row with the least mixed uid, so that keys of the same crowd have the same few centres
             centre = np.full(n, a + int((uid[own].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).argmin()))
             close = near(own, centre)
-            put(uid[own[close]], uid[centre[close]], 1)
-            odd, x, y = own[~close], np.empty(0, np.int64), np.empty(0, np.int64)
+            x, y = forest(np.concatenate([x, uid[own[close]]]), np.concatenate([y, uid[centre[close]]]))
+            odd = own[~close]
             for i in range(0, len(odd), 256):
                 some = odd[i : i + 256]
                 r, c = np.nonzero((np.bitwise_count(word[some, None] ^ word[None, a : a + n]) <= limit) & (uid[some, None] != uid[None, a : a + n]))
                 x, y = forest(np.concatenate([x, uid[some[r]]]), np.concatenate([y, uid[a + c]]))
-            put(x, y, 1)
+        put(x, y, 1)
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "hot": pairs[:, 2].astype(bool)})
 
@@ -398,12 +399,15 @@ def similar_links(each: DataFrame, docs: DataFrame, index: Index, words_per_shin
     differing = sum((F.bit_count(F.get("f_u", F.lit(i)).bitwiseXOR(F.get("f_v", F.lit(i)))) for i in range(index.words)), F.lit(0))
     # the smaller set can't be less than this part of the larger
     sized = F.least("m_u", "m_v") >= F.lit(similarity) * F.greatest("m_u", "m_v")
-    near = met.select("u", "v").join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v")
+    crowds = connected_components(met.where("hot").select("u", "v"), "simhash-crowds").select(F.col("node").alias("uid"), F.col("component").alias("crowd"))
+    crowds = materialize(crowds, "simhash-crowds")
+    # all near pairs of small keys, and each set of a crowd with one of it
+    wanted = met.where("not hot").select("u", "v").unionByName(crowds.where("uid <> crowd").select(F.least("uid", "crowd").alias("u"), F.greatest("uid", "crowd").alias("v"))).distinct()
+    near = wanted.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v")
     near = materialize(near, "simhash-pairs")
     links = _alike(near, each, docs, words_per_shingle, similarity, seed)
     joined = materialize(connected_components(links, "simhash-stars"), "simhash-stars")
-    # sets that crowded keys connect, as far as the links so far don't: a crowd's tiles of sets are compared with one another
-    crowds = connected_components(met.where("hot").select("u", "v"), "simhash-crowds").select(F.col("node").alias("uid"), F.col("component").alias("crowd"))
+    # crowds, as far as the links so far don't connect them: a crowd's tiles of sets are compared with one another
     crowds = materialize(crowds.join(joined, crowds["uid"] == joined["node"], "left").select("uid", "crowd", F.coalesce("component", "uid").alias("c")), "simhash-crowds")
     mixed = crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("crowd", F.ceil(F.col("n") / CROWD_TILE).cast("long").alias("k"))
     crowds = materialize(crowds.join(mixed, "crowd"), "simhash-mixed")
