@@ -276,7 +276,7 @@ def _score(shards: int) -> Callable:
 def _read_alike(df: DataFrame) -> bool:
     """Whether df is read from files and only projected, filtered and joined with broadcast tables, so that its rows come in the same order whenever a plan reads it."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return not re.search(r"Exchange hash|Exchange range|Exchange Round|Exchange Single|Sort |Limit|Sample|Python|Pandas|Arrow|InMemory|ExistingRDD|Generate|Aggregate", plan) and "FileScan" in plan
+    return not re.search(r"Exchange hash|Exchange range|Exchange Round|Exchange Single|Sort |Limit|Sample|Python|Pandas|Arrow|InMemoryTableScan|ExistingRDD|Generate|Aggregate", plan) and "FileScan" in plan
 
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
