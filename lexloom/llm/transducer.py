@@ -9,6 +9,7 @@ and walk all words of a slice through it at once, one byte a step. Words that it
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -33,8 +34,8 @@ from .common import discard, materialize, release, shared_dir
 SHARE, WORD_BYTES = 1e-5, 64
 #: Rows and bytes of text that a worker turns into Python objects at a time; words a task counts before it hands its counts on.
 ROWS, TEXT_BYTES, COUNTED = 2_048, 4 << 20, 200_000
-#: Ids from which merging uses a heap.
-HEAP_IDS = 96
+#: Ids from which merging uses a heap; shorter words that a worker keeps once they are merged.
+HEAP_IDS, MERGED = 96, 400_000
 
 
 def byte_letters() -> list[str]:
@@ -59,7 +60,9 @@ class Tokenizer:
         vocabulary = model["vocab"]
         self.of_byte = [vocabulary[c] for c in letters]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [tuple(pair) for pair in pairs]
+        self.merges = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocabulary[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in added if t["content"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes_of: list[bytes] = [b""] * (max([*vocabulary.values(), *self.added.values()]) + 1)
@@ -67,6 +70,8 @@ class Tokenizer:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token))
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
+        self.digits = list(map(str, range(len(self.bytes_of))))
+        self.merged: dict[str, tuple[int, ...]] = {}
 
     def words(self, text: str) -> list[str]:
         """The matches of the pattern and the added tokens of a text, in order; they cover it."""
@@ -83,39 +88,44 @@ class Tokenizer:
         """The ids of a word: the pair of the earliest merge, the leftmost of equals, is merged until none is left."""
         if word in self.added:
             return (self.added[word],)
+        if (known := self.merged.get(word)) is not None:
+            return known
         ids, merges = [self.of_byte[b] for b in word.encode()], self.merges
         if len(ids) >= HEAP_IDS:
             return self._merge_long(ids)
-        none = (1 << 60, -1)
+        none = len(self.made)
         pairs = [merges.get(p, none) for p in zip(ids, ids[1:])]
-        while pairs and (low := min(pairs)) is not none:
+        while pairs and (low := min(pairs)) < none:
             i = pairs.index(low)
-            ids[i : i + 2] = [low[1]]
+            ids[i : i + 2] = [self.made[low]]
             del pairs[i]
             if i:
                 pairs[i - 1] = merges.get((ids[i - 1], ids[i]), none)
             if i < len(pairs):
                 pairs[i] = merges.get((ids[i], ids[i + 1]), none)
-        return tuple(ids)
+        if len(self.merged) >= MERGED:
+            self.merged.clear()
+        found = self.merged[word] = tuple(ids)
+        return found
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap over linked ids, so that a text without boundaries takes n log n."""
         merges, n = self.merges, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(rank, i) for i in range(n - 1) if (rank := merges.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, new, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != (rank, new):
+            rank, i = heapq.heappop(heap)
+            j, new = after[i], self.made[rank]
+            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != rank:
                 continue  # one of the two has been merged since
             ids[i], ids[j], after[i] = new, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := merges.get((new, ids[after[i]])):
-                    heapq.heappush(heap, (*m, i))
-            if before[i] >= 0 and (m := merges.get((ids[before[i]], new))):
-                heapq.heappush(heap, (*m, before[i]))
+                if (rank := merges.get((new, ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (rank, i))
+            if before[i] >= 0 and (rank := merges.get((ids[before[i]], new))) is not None:
+                heapq.heappush(heap, (rank, before[i]))
         return tuple(i for i in ids if i >= 0)
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -125,8 +135,10 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Tokenizer:
-    """Once in each Python worker."""
-    return Tokenizer(path)
+    """Once in each Python worker; what it holds needn't be looked through for garbage again."""
+    tokenizer = Tokenizer(path)
+    gc.freeze()
+    return tokenizer
 
 
 def _shared(a: tuple, b: tuple) -> tuple:
@@ -389,18 +401,13 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         for batch in slices(batches):
             texts = [tokenizer.words(x or "") for x in batch.column(1).to_pylist()]
             ids_of = _ids(tokenizer, automaton, set(chain.from_iterable(texts)))
-            digits = {w: ",".join(map(str, ids)) for w, ids in ids_of.items()}
-            back = {w: b"".join(map(tokenizer.bytes_of.__getitem__, ids)) for w, ids in ids_of.items()}
-            sizes = {w: len(ids) for w, ids in ids_of.items()}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([sum(map(sizes.__getitem__, words)) for words in texts], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(digits.__getitem__, words)).encode()).hexdigest() for words in texts], pa.string()),
-                    pa.array([hashlib.sha256(b"".join(map(back.__getitem__, words)).decode("utf-8", "replace").encode()).hexdigest() for words in texts], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            n, of_ids, of_text = [], [], []
+            for words in texts:
+                ids = list(chain.from_iterable(map(ids_of.__getitem__, words)))
+                n.append(len(ids))
+                of_ids.append(hashlib.sha256(",".join(map(tokenizer.digits.__getitem__, ids)).encode()).hexdigest())
+                of_text.append(hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
