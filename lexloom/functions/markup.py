@@ -60,6 +60,17 @@ def _bare(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def _unescaped(texts: pd.Series) -> pd.Series:
+    import html
+
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numbered entities as the characters they stand for."""
+    return F.pandas_udf(_unescaped, "string")(text)
+
+
 def without_file_links(text: Column) -> Column:
     return F.pandas_udf(_removed, "string")(text)
 

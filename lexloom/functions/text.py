@@ -61,10 +61,10 @@ def tag_parts(value: Column) -> Column:
 
 def normalized_title(title: Column, blanks_too: bool = False) -> Column:
     """Unquoted, lower case, without joining marks."""
-    return F.regexp_replace(F.lower(_unquoted(title)), "[ _,():&']" if blanks_too else "[_,():&']", "")
+    return F.regexp_replace(F.lower(unquoted(title)), "[ _,():&']" if blanks_too else "[_,():&']", "")
 
 
-def _unquoted(title: Column) -> Column:
+def unquoted(title: Column) -> Column:
     """%XX decoded, + kept; a title with a broken escape stays as it is."""
     return F.coalesce(F.try_url_decode(F.replace(title, F.lit("+"), F.lit("%2B"))), title)
 
@@ -157,6 +157,27 @@ REPAIRS = (
 )
 
 
+# Spellings of original answers that are repaired alike.
+ORIGINAL_REPAIRS = (
+    ("nie przeszkadzać ”", "nie przeszkadzać"),
+    ("soli miedzi (II", "soli miedzi(II)"),
+    ("sole miedzi (II", "sole miedzi(II)"),
+    ("La Isla Bonita ”", "La Isla Bonita"),
+    ('" Into the Groove "', '"Into the Groove"'),
+)
+
+
+def _folded(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """text after replacements in their order."""
+    entries = F.array(*(F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in pairs))
+    return F.aggregate(entries, text, lambda out, p: F.replace(out, p["old"], p["new"])) if pairs else text
+
+
+def repaired_original(original: Column, repairs: tuple[tuple[str, str], ...] = ORIGINAL_REPAIRS) -> Column:
+    """An original answer with repaired spellings, as it is compared with a detokenized one."""
+    return _folded(original, repairs)
+
+
 def detokenized(answer: Column, original: Column, marks: tuple[str, ...] = TIGHT_MARKS, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> Column:
     """The answer without blanks before and after marks (in their order) where the original has none, and with repaired spellings."""
     blank = F.lit(" ")
@@ -164,10 +185,7 @@ def detokenized(answer: Column, original: Column, marks: tuple[str, ...] = TIGHT
     sides = F.array(*(F.struct(a.alias("old"), F.lit(m).alias("new")) for m in marks for a in (F.concat(blank, F.lit(m)), F.concat(F.lit(m), blank))))
     tight = F.aggregate(sides, answer, lambda out, m: F.when(original.contains(m["old"]), out).otherwise(F.replace(out, m["old"], m["new"])))
     out = F.when(F.lower(answer) != F.lower(original), F.replace(tight, F.lit(" s "), F.lit("s "))).otherwise(answer)
-    if not repairs:
-        return out
-    pairs = F.array(*(F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in repairs))
-    return F.aggregate(pairs, out, lambda text, p: F.replace(text, p["old"], p["new"]))
+    return _folded(out, repairs)
 
 
 def is_letters(word: Column) -> Column:

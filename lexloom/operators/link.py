@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized_title, unquoted
+
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row of each key, the last in the order (a column without ties within a key)."""
@@ -51,17 +53,23 @@ def within(graph: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def edges_from_text(edges_df: DataFrame) -> DataFrame:
-    """Two-token sentences of a graph's edges, for the training of embeddings."""
-    return edges_df.select(F.array(F.col("src").cast("string"), F.col("dst").cast("string")).alias("words"))
+def extend_articles(articles: DataFrame, links: DataFrame) -> DataFrame:
+    """Nested articles (title, ...) with enwiki_page_id, enwiki_title (the title, %XX decoded), plwiki_page_id and plwiki_title of links (title, page_id, other_title, other_page_id); nulls where a title has no link.
 
+    Only titles and their links meet in a shuffle of their own; of links that share a title one counts, the smallest.
+    """
+    known = links.select(F.col("title").alias("_t"), F.struct("page_id", "other_page_id", "other_title").alias("_l")).groupBy("_t").agg(F.min("_l").alias("_l"))
+    rows = articles.withColumn("enwiki_title", unquoted(F.col("title"))).join(known, F.col("enwiki_title") == F.col("_t"), "left")
+    return rows.select(*articles.columns, F.col("_l.page_id").alias("enwiki_page_id"), "enwiki_title", F.col("_l.other_page_id").alias("plwiki_page_id"), F.col("_l.other_title").alias("plwiki_title"))
 
-def page_vectors(graph: DataFrame, size: int = 100, seed: int = 1, rounds: int = 10, window: int = 1, partitions: int = 1):
-    """A Word2Vec model of a graph's edges, in so many rounds over them; stochastic, so only its shape can be compared. Beyond one partition, partitions are trained
-    apart and averaged."""
-    from pyspark.ml.feature import Word2Vec
 
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=rounds, numPartitions=partitions, seed=seed, inputCol="words", outputCol="vector").fit(edges_from_text(graph))
+def combined(articles: DataFrame, pages: DataFrame) -> DataFrame:
+    """Nested articles (title, ...) whose normalised title is a page's (page_id, title), with its en_wiki_page_id; others go. A normalised title that two articles or two pages share fails the job that reads it."""
+    left = articles.withColumn("_title", normalized_title(F.col("title")))
+    right = pages.select(normalized_title(F.col("title")).alias("_title"), F.col("page_id").alias("en_wiki_page_id"))
+    # titles without a partner don't matter, and may repeat
+    some = right.join(left.select("_title"), "_title", "left_semi")
+    return one_to_one(left.join(right.select("_title"), "_title", "left_semi"), some, "_title").drop("_title")
 
 
 def title_collisions(titles: DataFrame, normal: str = "normal") -> DataFrame:

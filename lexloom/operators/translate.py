@@ -14,11 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value bound to a variable, so that what is used often is computed once and stands once in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from ..functions.arrays import let
 
 
 def lookup(table: dict, key: Column) -> Column:

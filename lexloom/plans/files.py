@@ -78,9 +78,9 @@ def wiki_xml_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines "pl ||| en" in one file, in the order of the parts: the last of a repeated title counts."""
+    """Lines "pl ||| en" in files of unlike sizes, in the order of the parts: the last of a repeated title counts."""
     line = F.when(F.col("p_partkey") % 6 == 0, F.col("p_name")).otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit(" ||| "), F.col("p_name")))
-    p = table(spark, sf_dir, "part").repartition(1).sortWithinPartitions("p_partkey").select(line.alias("value"))
+    p = table(spark, sf_dir, "part").repartitionByRange(7, F.sqrt("p_partkey")).sortWithinPartitions("p_partkey").select(line.alias("value"))
     return files.read_titles(spark, written_lines(p, "titles"))
 
 

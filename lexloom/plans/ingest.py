@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import clean, without_file_links
-from ..operators import link
 from ..sources import devset, files
 from ..streaming.incremental import category_windows
 from .tables import table
@@ -42,17 +41,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "category", "n")
 
 
-def page_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages for which Word2Vec gives vectors, and how many finite numbers not all zero these have; the numbers themselves are stochastic."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    v = vector_to_array("vector")
-    good = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return link.page_vectors(link.edges(rows), 16, rounds=1).getVectors().select("word", F.when(good, F.size(v)).otherwise(0).alias("n"))
-
-
-QUERIES = {f.__name__: f for f in (devset_parse, dump_parse, markup_clean, event_windows, page_embeddings)}
+QUERIES = {f.__name__: f for f in (devset_parse, dump_parse, markup_clean, event_windows)}
 ORACLE = {
     "devset_parse": """
 SELECT 1000000 + row_number() OVER (ORDER BY conv_id, turn) AS id, role AS title, 'context' AS context, trim(replace(text, chr(10), ' '), ' ') AS question, 'a|b' AS answers FROM conversations""",
@@ -61,5 +50,4 @@ SELECT 1000000 + row_number() OVER (ORDER BY conv_id, turn) AS id, role AS title
 WITH b AS (SELECT item_id, regexp_replace(text, '[\[\]{}<>|&''=]', '', 'g') AS t FROM benchmark)
 SELECT item_id, t || ' label 12' || chr(10) AS text, t || '[[File:open' AS kept FROM b""",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS start, event_type AS category, count(*) AS n FROM events GROUP BY ALL",
-    "page_embeddings": "WITH e AS (SELECT l_partkey AS s, l_suppkey AS d FROM lineitem WHERE l_partkey <> l_suppkey) SELECT DISTINCT CAST(x AS VARCHAR) AS word, CAST(16 AS INT) AS n FROM (SELECT s AS x FROM e UNION SELECT d FROM e)",
 }

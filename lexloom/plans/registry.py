@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, dataset, evaluation, files, ingest, linking, retrieval, rules
+from . import corpus, dataset, evaluation, files, ingest, learned, linking, retrieval, rules, streams
 
-_MODULES = (evaluation, corpus, linking, retrieval, rules, ingest, dataset, files)
+_MODULES = (evaluation, corpus, linking, retrieval, rules, ingest, dataset, files, learned, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -69,8 +69,9 @@ def read_wiki(spark: SparkSession, path: str, namespaces: tuple[str, ...] = ("0"
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
-    """(en, pl) of lines "pl ||| en"; of repeated titles the last."""
-    lines = spark.read.text(path).withColumn("_no", F.monotonically_increasing_id())
+    """(en, pl) of lines "pl ||| en"; of repeated titles the last, in the order of the files' names, whichever task reads which part of them."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("_no"))
     parts = F.split("value", r"\|\|\|")
     rows = lines.where(F.size(parts) == 2).select(F.trim(parts[1]).alias("en"), F.trim(parts[0]).alias("pl"), "_no")
     return last_wins(rows, "en", "_no").select("en", "pl")

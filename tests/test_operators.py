@@ -288,8 +288,8 @@ def test_nearest_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "BLOCK", 7)
     x, df = _vectors(spark, 400)
     odd = spark.createDataFrame([(1000, None), (1001, []), (1002, [0.0] * 24), (1003, [1.0] * 3), (1004, [None] * 24), (1005, [2.0] * 3)], "id long, vector array<double>")
-    for most in (100, 0):
-        monkeypatch.setattr(retrieve, "BROADCAST_BLOCKS", most)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(retrieve, "BROADCAST_BYTES", most)
         found = retrieve.nearest(df.unionByName(odd), df.where("id % 10 = 0").unionByName(odd), 6, 6).collect()
         got = {}
         for r in found:
@@ -302,13 +302,14 @@ def test_nearest_by_brute_force(spark, monkeypatch):
         assert set(got) == {*range(0, 400, 10), 1003, 1005} and [i for _, i, _ in sorted(got[1003])] == [1003, 1005]
 
 
-def test_recall_of_hashing(spark):
-    from lexloom.operators import dataset, retrieve
+def test_recall_of_the_nearest_cells(spark):
+    from lexloom.operators import cells, retrieve
 
     _, df = _vectors(spark)
     queries = df.where("id % 50 = 0")
     exact = {(r.query_id, r.id) for r in retrieve.nearest(df, queries, 20).collect()}
-    found = {(r.query_id, r.id) for r in dataset.similar_by_hashing(df, queries, 20).collect()}
+    index = cells.build(df)
+    found = {(r.query_id, r.id) for r in cells.search(index, queries, 20, probes=2 * len(index.centroids) // 3, exact=False).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
 
 
