@@ -55,6 +55,7 @@ def starters(texts: DataFrame, found: DataFrame) -> DataFrame:
     words = _tokens(F.col("text"))
     pair = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(_type(F.col("w")[i - 1]).alias("before"), F.col("w")[i - 1].rlike(_MARKS).alias("mark"), F.col("w")[i].alias("word")))
     rows = texts.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pair).alias("p")).select("p.*").withColumn("type", _type(F.col("word"))).where(F.col("type").rlike(r"^\p{L}+$"))
+    rows = rows.withColumn("before", F.when(F.col("mark"), F.col("before")))  # what comes before matters only at a mark
     counts = rows.groupBy("before", "mark", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("word").rlike(r"^[(\[\"'„“]*\p{Lu}")).alias("large"))
     names = found.select(F.col("type").alias("before"), F.lit(True).alias("abbreviation"))
     counts = counts.join(names, "before", "left").withColumn("end", F.col("mark") & F.col("abbreviation").isNull())

@@ -12,7 +12,12 @@ from ..functions import text as T
 
 def sentence_table(articles: DataFrame, split: Callable[[Column], Column] = T.sentences, tokenize: Callable[[Column], Column] = T.tokens, stop: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, sent_no, title, tokens, raw_text) of articles (page_id, title, text). Categories and pictures go before numbering."""
-    kept = F.filter(split(F.col("text")), T.is_prose)
+    return numbered(articles.select("page_id", "title", split(F.col("text")).alias("sentences")), tokenize, stop)
+
+
+def numbered(articles: DataFrame, tokenize: Callable[[Column], Column] = T.tokens, stop: tuple[str, ...] = ()) -> DataFrame:
+    """sentence_table() of articles (page_id, title, sentences) that are split already, as by boundaries.learned_sentences()."""
+    kept = F.filter("sentences", T.is_prose)
     rows = articles.select("page_id", "title", F.posexplode(kept).alias("sent_no", "raw_text"))
     return rows.select("page_id", "sent_no", "title", T.without_stop_words(tokenize(F.col("raw_text")), stop).alias("tokens") if stop else tokenize(F.col("raw_text")).alias("tokens"), "raw_text")
 

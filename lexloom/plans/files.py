@@ -115,10 +115,10 @@ def corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object a file, each with the predictions of a range of conversations."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 8).alias("part"), F.struct(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("value")).alias("e"))
+    """One JSON object a file, each with the predictions of a thousand conversations."""
+    c = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 1000).alias("part"), F.struct(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("value")).alias("e"))
     path = scratch(spark, "predictions")
-    c.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).repartition(8, "part").write.partitionBy("part").text(path)
+    c.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).repartition("part").write.partitionBy("part").text(path)
     rows = files.read_predictions(spark, f"{path}/part=*")
     return rows.select("id", F.md5(F.encode("prediction", "UTF-8")).alias("md5"))
 

@@ -95,8 +95,11 @@ def nth_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lemma_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = _docs(spark, sf_dir).select("doc_id", _words(F.col("text")).alias("a"), "source").withColumn("b", F.lead("a").over(w)).where("b is not null")
+    """Each document's words against those of the next one of its source; only ids are sorted by source, words meet by id."""
+    d = _docs(spark, sf_dir)
+    after = d.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next_id")).where("next_id is not null")
+    words = d.select("doc_id", _words(F.col("text")).alias("a"))
+    rows = words.join(after, "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("a").alias("b")), "next_id")
     return rows.select("doc_id", match.lemma_guard(F.col("a"), F.col("b")).alias("agree"))
 
 

@@ -12,6 +12,7 @@ from ..operators import dataset, link, match, nest, translate
 from ..shared import dropped, scratch, written
 from ..sources import multistream
 from ..sources.frames import FrameSource
+from ..streaming import incremental
 from ..streaming.batches import batched
 from .tables import table
 
@@ -75,6 +76,17 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("group_id <> ''").select("group_id", "batch", F.explode("ordinals").alias("ordinal"))
 
 
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that stream in twice, the second time with others: each text is worked on once."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    path, out, checkpoint = (scratch(spark, f"resume-{k}") for k in ("in", "out", "checkpoint"))
+    for part in (c.where("length(text) % 2 = 0"), c):
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(c.schema).parquet(path)
+        incremental.resume(stream, out, "id", lambda rows: rows.select("id", F.char_length("text").alias("n")), checkpoint).awaitTermination()
+    return spark.read.schema("id string, n int").parquet(out)
+
+
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as nested articles with quoted titles."""
     c = table(spark, sf_dir, "conversations")
@@ -158,7 +170,7 @@ _T = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
 
 QUERIES = {
     f.__name__: f
-    for f in (frames_roundtrip, annotated_tokens, dump_streams, stream_batches, extended_articles, combined_articles, unquoted_titles, translated_data, titles_kept, worked_off, original_repairs, skip_counters)
+    for f in (frames_roundtrip, annotated_tokens, dump_streams, stream_batches, resumed_run, extended_articles, combined_articles, unquoted_titles, translated_data, titles_kept, worked_off, original_repairs, skip_counters)
 }
 ORACLE = {
     "frames_roundtrip": f"SELECT CAST(conv_id AS VARCHAR) AS title, conv_id || '-' || turn AS id, md5(text) AS question_md5, CAST(len({_T.format('text')}) AS INT) AS n FROM conversations",
@@ -171,6 +183,7 @@ WITH RECURSIVE d AS (SELECT source AS g, doc_id, length(text) AS n_chars, row_nu
 r AS (SELECT g, doc_id, n, CASE WHEN n_chars >= 29500 THEN 0 ELSE n_chars END AS s, 0 AS batch, CASE WHEN n_chars >= 29500 THEN 1 ELSE 0 END AS nxt FROM d WHERE n = 1
   UNION ALL SELECT d.g, d.doc_id, d.n, CASE WHEN r.s + d.n_chars >= 29500 THEN 0 ELSE r.s + d.n_chars END, r.nxt, CASE WHEN r.s + d.n_chars >= 29500 THEN r.nxt + 1 ELSE r.nxt END FROM r JOIN d ON d.g = r.g AND d.n = r.n + 1)
 SELECT g AS group_id, CAST(batch AS INT) AS batch, doc_id AS ordinal FROM r""",
+    "resumed_run": "SELECT conv_id || '-' || turn AS id, CAST(length(text) AS INT) AS n FROM conversations",
     "extended_articles": """
 WITH a AS (SELECT conv_id, count(DISTINCT role) AS p, count(DISTINCT role || text) AS q FROM conversations GROUP BY conv_id)
 SELECT 'C%2B%2B_' || conv_id || '+x' AS title, CASE WHEN conv_id % 3 <> 0 THEN conv_id END AS enwiki_page_id, 'C++_' || conv_id || '+x' AS enwiki_title, CASE WHEN conv_id % 3 <> 0 THEN conv_id + 1 END AS plwiki_page_id,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,23 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus(nested: DataFrame, path: str) -> None:
-    """Articles (title, paragraphs) as one JSON document; the final artefact, in one file."""
-    nested.agg(F.array_sort(F.collect_list(F.struct("ordinal", "title", "paragraphs"))).alias("_d")).select(F.transform("_d", lambda x: F.struct(x["title"].alias("title"), x["paragraphs"].alias("paragraphs"))).alias("data")).write.mode("overwrite").json(path)
+    """Articles (ordinal, title, paragraphs) as JSON documents in the order of their ordinals: a file for each range of them, each a whole document {"data": [...]} of one line an article, so that no row or task holds the corpus.
+
+    read_corpus() reads the folder as it is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["value"])
+        before = None
+        for batch in batches:
+            for article in batch.column(0).to_pylist():
+                yield line(['{"data": [' if before is None else before + ","])
+                before = article
+        if before is not None:
+            yield line([before + "]}"])
+
+    rows = nested.repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    rows.select(F.to_json(F.struct("title", "paragraphs")).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
