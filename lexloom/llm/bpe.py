@@ -186,7 +186,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of encode() and of decode() of its ids, without moving the ids."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of encode() and of decode() of its ids, without moving the ids.
+
+    A null or an empty text has no ids, and digests of nothing; a null doc_id stays null; repeated rows are kept, each with the same digests; of pairs of equal rank the leftmost is merged; a text may be as long as a row
+    can be, also without any boundary (merging takes n log n); an empty table gives no rows; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

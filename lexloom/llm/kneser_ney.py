@@ -333,7 +333,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, lan
 
     The model is trained on all trusted documents but those held out; the threshold of a language is the quantile of its held-out
     documents' perplexities. A row is kept unless its perplexity is above the threshold: null and empty texts, and languages
-    without held-out documents, are kept with nulls. Texts of any length are scored whole, a very long one as a chunk of its own; repeated rows are scored one by one, a null lang is a language of its own, and without
+    without held-out documents, are kept with nulls. Texts of any length are scored whole, a very long one as a chunk of its own; repeated rows are scored one by one, a perplexity that ties with the threshold is kept, a null lang is a language of its own, and without
     labels all is kept; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -305,7 +305,8 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs is tokenised as it stands (null text: empty, which is the end id alone); repeated rows and repeated or
-    null doc_ids are separate documents; other columns are ignored; an empty table gives no pieces. Sequences are
+    null doc_ids are separate documents; a text may be as long as a row can be, and is cut into as many pieces as it takes; documents of equal length are packed in any
+    order; other columns are ignored, whatever their names; an empty table gives no pieces. Sequences are
     numbered from 0 without gaps; only the last one that lies end to end can be shorter than the window.
     """
     spark = docs.sparkSession

@@ -156,7 +156,7 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = 3, most: int = 3, s
 
     Rows that repeat a doc_id are kept and each has its own fingerprint; empty tables give no rows; null and
     wordless texts have the fingerprint zero, which links like any other; columns besides the two named are ignored. A null
-    doc_id is kept: its row has its fingerprint's component.
+    doc_id is kept: its row has its fingerprint's component. A very long text has the fingerprint of all its shingles; a bit that just half of them have is 0.
     """
     fps = materialize(fingerprints(docs, words_per_shingle, seed, id_col, text_col), "simhash-fps")
     each = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-each")

@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, reach: int = REACH, dige
     Every byte goes that a string of `least` bytes covers which also starts anywhere else, in the same text or another.
     kept is a string, without code points that a run cuts in two; with digest=True it is the SHA-256 of the remaining bytes
     instead. Null texts count as empty; texts shorter than `least` stay; repeated rows, doc_ids and null doc_ids are documents of
-    their own; other columns are carried along (a name that clashes with the result's or a working one gets the prefix "in_").
+    their own; a text may be as long as a row can be, and is parsed whole; an empty table gives no rows; other columns are carried along (a name that clashes with the result's or a working one gets the prefix "in_").
     """
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))

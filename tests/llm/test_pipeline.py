@@ -51,3 +51,26 @@ def test_run(spark, tmp_path):
         (docs.limit(0) if empty else docs).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         assert P.run(spark, folder).count() == 0  # thirty equal words are repeated windows
+
+
+def test_stages_with_repeated_rows_and_long_texts(spark):
+    """Each stage takes rows that repeat, texts that are null, empty or very long, and columns of its own names."""
+    long_ = " ".join(f"w{i * 7919 % 100_003}x" for i in range(90_000))
+    good = " ".join(f"word{i * i % 9973} and" for i in range(60))
+    docs = [(1, good, "en", "s", 0), (1, good, "en", "s", 0), (2, good, None, None, None), (3, long_, "en", "s", 0), (4, "", "en", "s", 0), (5, None, "en", "s", 0), (None, None, None, None, None)]
+    df = spark.createDataFrame([(*d, "a", 7, "b") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int, th string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    original, P.table = P.table, lambda *_: labels
+    try:
+        rows = {name: stage(spark, df, "").collect() for name, stage in P.STAGES}
+    finally:
+        P.table = original
+    assert sorted(r.doc_id for r in rows["quality rules"]) == [1, 1, 2, 3]
+    assert sorted((r.doc_id, r.text == long_) for r in rows["SimHash near-dedup"]) == [(1, False), (3, True), (4, False)]
+    cut = {}
+    for r in rows["suffix-array dedup"]:
+        cut.setdefault(r.doc_id, []).append(r.text)
+    assert len(cut[1]) == 2 and cut[3] == [long_] and all(len(t) < 200 for t in cut[1] + cut[2]) and cut[4] == cut[5] == cut[None] == [""]
+    assert len(rows["secret scan"]) == len(docs) and [r.text for r in rows["secret scan"] if r.doc_id == 3] == [long_]
+    pieces = rows["packing"]
+    assert sum(r.length for r in pieces if r.doc_id == 3) > 90_000 and sum(r.length for r in pieces if r.doc_id in (4, 5)) == 2 and len({r.sequence_id for r in pieces if r.doc_id == 3}) > 20
