@@ -77,6 +77,17 @@ def wiki_xml_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_wiki(spark, _wiki(spark, sf_dir), ("0", "6"), pages, True).select("page_id", "title", F.col("text").startswith("#REDIRECT").alias("redirect"))
 
 
+def wiki_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with markup around them, written as XML dumps, and read as plain articles."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\w"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\[\]{}<>|&'=#]", ""), r"[\x00-\x20]+", " "))
+    text = F.concat(F.lit("[[File:a.png|thumb|see [[b|c]] here]]'''"), plain, F.lit("''' {{x|{{y}}}}[[page|label]] <ref>z</ref>{{formatnum:12}} &amp;\n== Przypisy ==\nrest"))
+    path = scratch(spark, "pages")
+    files.write_pages(d.select(F.col("doc_id").alias("page_id"), F.concat("source", F.lit(" & "), F.col("doc_id").cast("string")).alias("title"), text.alias("text")), path)
+    rows = files.read_articles(spark, path)
+    return rows.select("page_id", "title", F.md5(F.encode(F.regexp_replace("text", r"\s+$", ""), "UTF-8")).alias("text_md5"))
+
+
 def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines "pl ||| en" in files of unlike sizes, in the order of the parts: the last of a repeated title counts."""
     line = F.when(F.col("p_partkey") % 6 == 0, F.col("p_name")).otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit(" ||| "), F.col("p_name")))
@@ -155,13 +166,16 @@ _DOUBLES = "list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE))"
 _COS = "round(list_dot_product({q}, {c}) / sqrt(list_dot_product({q}, {q})) / sqrt(list_dot_product({c}, {c})), 5)".format(q=_DOUBLES.format("q"), c=_DOUBLES.format("c"))
 _WIKI = r"w AS (SELECT doc_id, source || ' ' || doc_id AS title, regexp_replace(text, '[\x00-\x1f]', ' ', 'g') AS t FROM documents WHERE regexp_matches(text, '[^\x00-\x20]'))"
 
-QUERIES = {f.__name__: f for f in (wiki_page_dump, wiki_langlinks_dump, resolved_links, wiki_xml, wiki_xml_pages, title_pairs, dump_index, pairs_roundtrip, cities, corpus_roundtrip, predictions_json, namespaces_skipped, related_pages, one_to_one, recall_of_pages)}
+QUERIES = {f.__name__: f for f in (wiki_page_dump, wiki_langlinks_dump, resolved_links, wiki_xml, wiki_xml_pages, wiki_articles, title_pairs, dump_index, pairs_roundtrip, cities, corpus_roundtrip, predictions_json, namespaces_skipped, related_pages, one_to_one, recall_of_pages)}
 ORACLE = {
     "wiki_page_dump": "SELECT CAST(p_partkey AS INT) AS page_id, p_name || '''s ' || p_partkey AS title FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0",
     "wiki_langlinks_dump": "SELECT CAST(c_custkey AS INT) AS page_id, c_name || ' (a, b) O''Hara' AS title FROM customer WHERE c_custkey % 3 = 0",
     "resolved_links": "SELECT DISTINCT CAST(l_partkey AS INT) AS src, CAST(l_suppkey AS INT) AS dst FROM lineitem WHERE l_linenumber <> 7 AND l_partkey <> l_suppkey AND l_partkey IN (SELECT s_suppkey FROM supplier) AND l_suppkey IN (SELECT s_suppkey FROM supplier)",
     "wiki_xml": f"WITH {_WIKI} SELECT doc_id AS page_id, title, md5(trim(t, ' ')) AS text_md5 FROM w WHERE doc_id % 11 <> 0 AND doc_id % 4 <> 1",
     "wiki_xml_pages": f"WITH {_WIKI} SELECT doc_id AS page_id, title, doc_id % 11 = 0 AS redirect FROM w WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "wiki_articles": r"""
+WITH t AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(text, '[\[\]{}<>|&''=#]', '', 'g'), '[\x00-\x20]+', ' ', 'g'), ' ') AS t FROM documents WHERE regexp_matches(text, '[0-9A-Za-z_]'))
+SELECT doc_id AS page_id, source || ' & ' || doc_id AS title, md5(t || ' label 12 &') AS text_md5 FROM t""",
     "title_pairs": "SELECT p_name AS en, CAST(max(p_partkey) AS VARCHAR) AS pl FROM part WHERE p_partkey % 6 <> 0 GROUP BY p_name",
     "dump_index": "SELECT c_custkey * 100 AS \"offset\", c_custkey AS page_id, c_mktsegment || ':' || c_name AS title FROM customer",
     "pairs_roundtrip": "SELECT o_orderkey, o_orderpriority || ' \"x\" y' AS title FROM orders",

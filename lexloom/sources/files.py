@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.markup import clean
 from ..functions.text import is_redirect
 from ..operators.link import last_wins
 from . import schemas
@@ -86,6 +87,19 @@ def read_wiki(spark: SparkSession, path: str, namespaces: tuple[str, ...] = ("0"
     return rows if pages is None else rows.join(pages.select("page_id"), "page_id", "left_semi")
 
 
+def read_articles(spark: SparkSession, path: str, namespaces: tuple[str, ...] = ("0",), pages: DataFrame | None = None) -> DataFrame:
+    """(page_id, title, text) of an XML dump as plain text: read_wiki() with the markup cleaned, without articles of which nothing is left."""
+    rows = read_wiki(spark, path, namespaces, pages)
+    return rows.withColumn("text", clean(F.col("text"))).where(F.col("text").rlike(r"\S"))
+
+
+def write_pages(pages: DataFrame, path: str, namespace: str = "0") -> None:
+    """Pages (page_id, title, text) as XML dumps, a file a task, as read_wiki() reads them; what XML can't hold (control characters) becomes a blank."""
+    text = F.struct(F.octet_length("text").alias("_bytes"), F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", " ").alias("_VALUE"))
+    rows = pages.where("page_id is not null").select("title", F.lit(namespace).alias("ns"), F.col("page_id").alias("id"), F.struct(text.alias("text")).alias("revision"))
+    rows.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
+
+
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """(en, pl) of lines "pl ||| en"; of repeated titles the last, in the order of the files' names, whichever task reads which part of them."""
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
