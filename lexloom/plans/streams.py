@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.arrays import first_where
 from ..functions.markup import unescaped
-from ..operators import dataset, link, match, nest, translate
+from ..operators import dataset, link, nest, report, translate
 from ..shared import dropped, scratch, written
 from ..sources import multistream
 from ..sources.frames import FrameSource
@@ -166,11 +166,17 @@ def skip_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(first["rows"], first["different"], second["rows"], second["incorrect"], n)], "answers long, different long, spans long, incorrect long, kept long")
 
 
+def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five documents of each source and language, as lines for reading."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
+    return report.first_lines(d, "source", ["lang"], "line", "doc_id")
+
+
 _T = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
 
 QUERIES = {
     f.__name__: f
-    for f in (frames_roundtrip, annotated_tokens, dump_streams, stream_batches, resumed_run, extended_articles, combined_articles, unquoted_titles, translated_data, titles_kept, worked_off, original_repairs, skip_counters)
+    for f in (frames_roundtrip, annotated_tokens, dump_streams, stream_batches, resumed_run, extended_articles, combined_articles, unquoted_titles, translated_data, titles_kept, worked_off, original_repairs, skip_counters, first_sentences)
 }
 ORACLE = {
     "frames_roundtrip": f"SELECT CAST(conv_id AS VARCHAR) AS title, conv_id || '-' || turn AS id, md5(text) AS question_md5, CAST(len({_T.format('text')}) AS INT) AS n FROM conversations",
@@ -197,6 +203,9 @@ FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 2
 SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^\p{Lu}'))[1] AS first FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 7 = 0 AND regexp_matches(source, '[02468]$'))""",
     "worked_off": "SELECT DISTINCT md5(text) AS text_md5, md5('pl: ' || text) AS translation_md5 FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE turn = 0)",
     "original_repairs": "SELECT p_partkey, 'soli miedzi(II)) ' || p_name || ' \"Into the Groove\"' AS original FROM part",
+    "first_sentences": """
+WITH r AS (SELECT source, lang, split_part(text, chr(10), 1) AS t, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id, split_part(text, chr(10), 1)) AS k FROM documents)
+SELECT source, 'lang: ' || lang || chr(10) || string_agg(k || '. ' || t, chr(10) ORDER BY k) AS lines FROM r WHERE k <= 5 GROUP BY source, lang""",
     "skip_counters": r"""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT doc_id FROM p WHERE t LIKE '% % %' AND regexp_full_match(split_part(t, ' ', 3), '[a-z]{5,}')),
 n AS (SELECT count(*) AS a, count(*) FILTER (doc_id % 5 = 0) AS d, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 <> 0) AS k FROM m)
