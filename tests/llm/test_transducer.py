@@ -101,3 +101,18 @@ def test_lexicon_holds_frequent_words_only(spark, tmp_path):
 
     held = T.Lexicon(SparkFiles.get(T.compile_lexicon(docs, PATH, share=0.01)))
     assert [x is not None for x in held.look_up(["often", " often", " w", "1", "7"])] == [True, True, True, False, False]
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        T.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * (T.TEXT_BYTES // 2)] * 5 + ["b" * (3 * T.TEXT_BYTES), None, ""] + ["c"] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(T.slices(iter([batch])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= T.ROWS and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= T.TEXT_BYTES) for p in parts)
