@@ -401,8 +401,10 @@ def similar_links(each: DataFrame, docs: DataFrame, index: Index, words_per_shin
     sized = F.least("m_u", "m_v") >= F.lit(similarity) * F.greatest("m_u", "m_v")
     crowds = connected_components(met.where("hot").select("u", "v"), "simhash-crowds").select(F.col("node").alias("uid"), F.col("component").alias("crowd"))
     crowds = materialize(crowds, "simhash-crowds")
-    # all near pairs of small keys, and each set of a crowd with one of it
-    wanted = met.where("not hot").select("u", "v").unionByName(crowds.where("uid <> crowd").select(F.least("uid", "crowd").alias("u"), F.greatest("uid", "crowd").alias("v"))).distinct()
+    # the near pairs of small keys, and each set of a crowd with one of it; pairs inside a crowd wait: either these connect it, or its tiles compare all of it
+    own = lambda x: crowds.select(F.col("uid").alias(x), F.col("crowd").alias(f"crowd_{x}"))
+    outside = met.where("not hot").select("u", "v").join(own("u"), "u", "left").join(own("v"), "v", "left").where("crowd_u is null or crowd_v is null or crowd_u <> crowd_v").select("u", "v")
+    wanted = outside.unionByName(crowds.where("uid <> crowd").select(F.least("uid", "crowd").alias("u"), F.greatest("uid", "crowd").alias("v"))).distinct()
     near = wanted.join(wide("u"), "u").join(wide("v"), "v").where(sized & (differing <= most_bits(similarity, 64 * index.words))).select("u", "v")
     near = materialize(near, "simhash-pairs")
     links = _alike(near, each, docs, words_per_shingle, similarity, seed)
