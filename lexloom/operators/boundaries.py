@@ -32,9 +32,11 @@ def _bernoulli(k: Column, n: Column, p: Column) -> Column:
 
 def type_counts(texts: DataFrame) -> DataFrame:
     """(type, with_period, without) of the letters-only types, inner periods allowed, in texts (id, text)."""
-    token = F.explode(F.transform(_tokens(F.col("text")), lambda t: F.struct(_type(t).alias("type"), t.rlike(r"\.[)\]\"'”’]*$").alias("period"))))
-    rows = texts.select(token.alias("t")).select("t.type", "t.period").where(F.col("type").rlike(r"^\p{L}[\p{L}.]*$"))
-    return rows.groupBy("type").agg(F.count_if("period").alias("with_period"), F.count_if(~F.col("period")).alias("without"))
+    # what is equal is counted before it is looked at
+    tokens = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rows = tokens.select(_type(F.col("t")).alias("type"), F.col("t").rlike(r"\.[)\]\"'”’]*$").alias("period"), "n").where(F.col("type").rlike(r"^\p{L}[\p{L}.]*$"))
+    of = lambda which: F.sum(F.when(which, F.col("n")).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy("type").agg(of(F.col("period")).alias("with_period"), of(~F.col("period")).alias("without"))
 
 
 def abbreviations(texts: DataFrame) -> DataFrame:
@@ -75,8 +77,9 @@ def learned_sentences(texts: DataFrame, found: DataFrame, begin: DataFrame) -> D
     Only the tokens with a period that could be an abbreviation's are joined with the learned types; what comes back to a text is the list of places where it isn't to be split.
     """
     rows = texts.select("id", F.col("text")).withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+|\n)"), 1))
-    place = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), _type(F.col("w")[i]).alias("type"), F.get("w", i + 1).alias("next")))
-    near = rows.where(F.size("w") > 0).select("id", F.explode(F.filter(place, lambda p: F.col("w")[p["at"]].rlike(r"\.[)\]\"'”’]*$"))).alias("p")).select("id", "p.*")
+    period = F.filter(F.transform("w", lambda t, i: F.when(t.rlike(r"\.[)\]\"'”’]*$"), i)), lambda i: i.isNotNull())
+    place = F.transform(period, lambda i: F.struct(i.alias("at"), _type(F.get("w", i)).alias("type"), F.get("w", i + 1).alias("next")))
+    near = rows.select("id", F.explode(place).alias("p")).select("id", "p.*")
     first = begin.select(F.col("type").alias("_b"), F.lit(True).alias("starts"))
     held = near.join(found.select("type"), "type", "left_semi").withColumn("_n", _type(F.coalesce("next", F.lit("")))).join(first, F.col("_n") == F.col("_b"), "left")
     large = F.col("next").rlike(r"^[(\[\"'„“]*\p{Lu}")
