@@ -7,8 +7,8 @@ goes to its nearest cell (home) and, as a guest, to each cell in which a vector
   and the angle to that half-space must not exceed the link angle;
 * it is no further from its centroid than the cell's radius.
 
-Both are bounds, not estimates: no link is lost, whatever the vectors are like. Cells are compared in blocks of home
-and of present vectors; each pair of blocks is a task's group, so that a crowded cell is dealt to many tasks. A block returns how often each
+Both are bounds, not estimates: no link is lost, whatever the vectors are like. Cells are put together to blocks, and crowded ones dealt to some. Each pair of blocks is a task's group, met once for both sides, and
+has only those vectors that can have a link in the other block; they travel packed, in the precision that they came in. A vector is copied at most once for each block, whatever the number of cells. A group returns how often each
 vector is linked and the links as stars, never the pairs.
 """
 
@@ -25,8 +25,8 @@ from .graph import connected_components, forest
 THRESHOLD = 0.95
 #: Vectors the centroids are fitted to, at most, and numbers in these; vectors a cell is meant to hold; cells at most; rounds of fitting.
 SAMPLE, SAMPLE_VALUES, CELL_VECTORS, MOST_CELLS, ROUNDS = 16_384, 1 << 20, 4_096, 1_024, 12
-#: Home and present vectors of a block.
-HOME_BLOCK, PRESENT_BLOCK = 2_048, 8_192
+#: Vectors of a block, at most, and numbers in these; vectors of the other block that are multiplied at a time; blocks that many vectors are dealt to at least.
+HOME_BLOCK, HOME_VALUES, PRESENT_BLOCK, LEAST_BLOCKS = 65_536, 1 << 22, 8_192, 4
 
 
 def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -42,7 +42,7 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int
     return centroids
 
 
-def _unit(embeddings: pd.Series) -> np.ndarray:
+def _unit(embeddings: pd.Series | np.ndarray) -> np.ndarray:
     x = np.stack([np.asarray(e, np.float64) for e in embeddings])
     x /= np.abs(x).max(1, keepdims=True)  # against overflow of the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -78,69 +78,78 @@ def _gaps(centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-30))
 
 
-def _attendance(centroids: np.ndarray, radius: np.ndarray, threshold: float):
-    """(cell, n): the vectors present in each cell, a row for each cell and task."""
-    gaps = _gaps(centroids)
-
-    def run(frames):
-        n = np.zeros(len(centroids), np.int64)
-        for rows in frames:
-            if len(rows):
-                n += _present(_unit(rows["embedding"]), centroids, gaps, radius, threshold)[1].sum(0)
-        yield pd.DataFrame({"cell": np.arange(len(n), dtype=np.int32), "n": n})
-
-    return run
-
-
-def _copies(centroids: np.ndarray, radius: np.ndarray, blocks: np.ndarray, present: np.ndarray, threshold: float):
-    """Each vector once for every block that it is compared in; home: whether as a row of the block or as one compared with."""
+def _dealt(centroids: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block, blocks) of each cell, and how many there are: near cells share a block of up to `most` vectors, a cell of more has its own ones."""
+    first, count = np.zeros(len(size), np.int64), np.ones(len(size), np.int64)
+    left, now, n, room = np.ones(len(size), bool), 0, 0, 0
+    for _ in range(len(size)):
+        left[now] = False
+        if size[now] > most:
+            first[now], count[now] = n, -(-size[now] // most)
+            n, room = n + count[now], 0
+        else:
+            if size[now] > room or not n:
+                n, room = n + 1, most
+            first[now] = n - 1
+            room -= size[now]
+        if left.any():
+            now = int(np.where(left, centroids @ centroids[now], -2).argmax())
+    return first, count, int(n)
+
+
+def _copies(centroids: np.ndarray, radius: np.ndarray, first: np.ndarray, count: np.ndarray, n: int, threshold: float, kind: type):
+    """The vectors of each pair of blocks (a <= b), packed; side: which of the two they are of."""
     gaps = _gaps(centroids)
+    block = np.arange(n)
+    holds = ((block >= first[:, None]) & (block < (first + count)[:, None])).astype(np.float32)
 
     def run(frames):
         for rows in frames:
             if not len(rows):
                 continue
-            x, uid = _unit(rows["embedding"]), rows["uid"].to_numpy()
-            cell, guest = _present(x, centroids, gaps, radius, threshold)
+            raw = np.stack([np.asarray(e, kind) for e in rows["embedding"]])
+            uid, weight = rows["uid"].to_numpy(np.int64), rows["weight"].to_numpy(np.int64)
+            cell, there = _present(_unit(raw), centroids, gaps, radius, threshold)
             spread = (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            r, c = np.nonzero(guest)
-            own_block, own_part = spread % blocks[cell], spread % present[cell]
-            # compared with: once for each home block of a cell it is present in
-            times = blocks[c]
-            at = np.repeat(np.arange(len(r)), times)
-            home_block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            part = (spread[r] % present[c])[at]
-            a = pd.DataFrame({"row": r[at], "cell": c[at], "i": home_block, "j": part, "home": False})
-            # as a row: once for each part of what is present in its cell
-            times = present[cell]
-            at = np.repeat(np.arange(len(cell)), times)
-            b = pd.DataFrame({"row": at, "cell": cell[at], "i": own_block[at], "j": np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), "home": True})
-            for out in (a, b):
-                for k in range(0, len(out), 20_000):
-                    some = out.iloc[k : k + 20_000]
-                    yield pd.DataFrame({"cell": some["cell"].to_numpy(np.int32), "i": some["i"].to_numpy(np.int32), "j": some["j"].to_numpy(np.int32), "home": some["home"].to_numpy(), "uid": uid[some["row"]], "weight": rows["weight"].to_numpy()[some["row"]], "embedding": rows["embedding"].to_numpy()[some["row"]]})
+            own = first[cell] + spread % count[cell]
+            reach = there.astype(np.float32) @ holds > 0
+            for i in np.unique(own):
+                mine = np.flatnonzero(own == i)
+                for j in np.flatnonzero(reach[mine].any(0)):
+                    some = mine[reach[mine, j]]
+                    yield pd.DataFrame([{"a": min(i, j), "b": max(i, j), "side": int(i > j), "ids": uid[some].tobytes(), "weights": weight[some].tobytes(), "vectors": raw[some].tobytes()}])
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, size: int, kind: type):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        home = rows["home"].to_numpy(bool)
-        if not home.any() or home.all():
-            return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
-        x, y = _unit(rows["embedding"][home]), _unit(rows["embedding"][~home])
-        u, v, weight = rows["uid"].to_numpy()[home], rows["uid"].to_numpy()[~home], rows["weight"].to_numpy()[~home]
-        n = np.zeros(len(u), np.int64)
+        def of(side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = rows[rows["side"] == side]
+            ids, weights = (np.frombuffer(b"".join(own[c]), np.int64) for c in ("ids", "weights"))
+            x = np.frombuffer(b"".join(own["vectors"]), kind).astype(np.float64).reshape(-1, size)
+            x /= np.abs(x).max(1, keepdims=True, initial=0.0)
+            return ids, weights, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        same = rows["a"].iloc[0] == rows["b"].iloc[0]
+        u, of_u, x = of(0)
+        v, of_v, y = (u, of_u, x) if same else of(1)
+        n, m = np.zeros(len(u), np.int64), np.zeros(len(v), np.int64)
         a = b = np.empty(0, np.int64)
         for k in range(0, len(u), 256):
-            hit = x[k : k + 256] @ y.T >= threshold
-            hit &= u[k : k + 256, None] != v[None, :]
-            n[k : k + 256] = hit @ weight
-            r, c = np.nonzero(hit)
-            if len(r):
-                a, b = forest(np.concatenate([a, u[k + r]]), np.concatenate([b, v[c]]))
-        some = np.flatnonzero(n)
-        return pd.DataFrame({"u": np.concatenate([u[some], a]), "v": np.concatenate([np.full(len(some), -1), b]), "n": np.concatenate([n[some], np.zeros(len(a), np.int64)])})
+            for h in range(0, len(v), PRESENT_BLOCK):
+                r, c = np.nonzero(x[k : k + 256] @ y[h : h + PRESENT_BLOCK].T >= threshold)
+                r, c = r + k, c + h
+                if same:
+                    r, c = r[r != c], c[r != c]
+                if len(r):
+                    np.add.at(n, r, of_v[c])
+                    if not same:
+                        np.add.at(m, c, of_u[r])
+                    a, b = forest(np.concatenate([a, u[r]]), np.concatenate([b, v[c]]))
+        linked, times = (u, n) if same else (np.concatenate([u, v]), np.concatenate([n, m]))
+        some = np.flatnonzero(times)
+        return pd.DataFrame({"u": np.concatenate([linked[some], a]), "v": np.concatenate([np.full(len(some), -1), b]), "n": np.concatenate([times[some], np.zeros(len(a), np.int64)])})
 
     return run
 
@@ -154,10 +163,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     are kept; a null vec_id is kept as it is and has its group's component. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    e = F.col(vec_col).cast("array<double>")
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    e = F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
     good = F.size(e) > 0
     good = good & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), F.transform(e, lambda x: x + F.lit(0.0))).alias("embedding"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), F.transform(e, lambda x: x + F.lit(0.0).cast("float" if single else "double"))).alias("embedding"))
     none = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = rows.where("embedding is not null")
     each = rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")).withColumn("uid", F.monotonically_increasing_id())
@@ -194,11 +204,10 @@ def _links(of: DataFrame, count: int, threshold: float) -> DataFrame:
     radius, size = np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
     for r in homes.groupBy("cell").agg(F.max("angle").alias("a"), F.count(F.lit(1)).alias("n")).collect():  # one row a cell
         radius[r["cell"]], size[r["cell"]] = r["a"], r["n"]
-    blocks = np.maximum(1, -(-size // HOME_BLOCK))
-    attending = np.zeros(len(centroids), np.int64)
-    for r in of.select("embedding").mapInPandas(_attendance(centroids, radius, threshold), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        attending[r["cell"]] = r["n"]
-    present = np.maximum(1, -(-attending // PRESENT_BLOCK))
-    kind = "cell int, i int, j int, home boolean, uid long, weight long, embedding array<double>"
-    copies = of.select("uid", "weight", "embedding").mapInPandas(_copies(centroids, radius, blocks, present, threshold), kind)
-    return copies.groupBy("cell", "i", "j").applyInPandas(lambda rows: _compare(threshold)(rows), "u long, v long, n long")
+    length = len(fitted[0])
+    most = min(HOME_BLOCK, max(1, HOME_VALUES // length), max(CELL_VECTORS, -(-count // LEAST_BLOCKS)))
+    first, times, n = _dealt(centroids, size, most)
+    kind = np.float32 if of.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    copies = of.select("uid", "weight", "embedding").mapInPandas(_copies(centroids, radius, first, times, n, threshold, kind), "a int, b int, side int, ids binary, weights binary, vectors binary")
+    compare = _compare(threshold, length, kind)
+    return copies.groupBy("a", "b").applyInPandas(lambda rows: compare(rows), "u long, v long, n long")
