@@ -17,16 +17,15 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .delimited import ARTICLE_FIELDS, _varint_bytes, decode, encode, frames
 from .schemas import ARTICLE
 
-#: Bytes of a stretch, at least; messages of a batch of rows; the ending of an index file.
-STRETCH, ROWS, INDEX = 8 << 20, 256, ".index"
+#: Bytes of a stretch, at least; messages of a batch of rows; messages that a writer unpacks at a time; the ending of an index file.
+STRETCH, ROWS, SLICE, INDEX = 8 << 20, 256, 16, ".index"
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -91,23 +90,23 @@ class FrameReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(held, kind)
 
 
-class FrameWriter(DataSourceWriter):
+class FrameWriter(DataSourceArrowWriter):
     """Each task writes a file and its index under hidden names; the commit gives those of the tasks that counted their own."""
 
     def __init__(self, path: str, stretch: int, overwrite: bool):
         self.path, self.stretch, self.overwrite = path, stretch, overwrite
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = filesystem(self.path)
         system.create_dir(path, recursive=True)
         name = f"part-{uuid.uuid4().hex}"
         at, last, places = 0, 0, [0]
         with system.open_output_stream(f"{path}/_{name}") as f:
-            for row in iterator:
+            for row in (r for b in iterator for i in range(0, b.num_rows, SLICE) for r in b.slice(i, SLICE).to_pylist()):
                 if at - last >= self.stretch:
                     places.append(at)
                     last = at
-                body = encode(row.asDict(recursive=True), ARTICLE_FIELDS)
+                body = encode(row, ARTICLE_FIELDS)
                 head = _varint_bytes(len(body))
                 f.write(head + body)
                 at += len(head) + len(body)
