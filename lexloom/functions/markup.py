@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import before_appendix, formatted_numbers, single_blanks, without_quotes_of_markup
 
+#: Texts that a worker unpacks at a time.
+SLICE = 128
 FILE_LINKS = ("[[File:", "[[Image:", "[[Plik:", "[[Media:", "[[Grafika:")
 
 
@@ -40,24 +45,32 @@ def without_nested(text: str | None, openings: tuple[str, ...] = FILE_LINKS, pai
     return "".join(out) + text[at:]
 
 
-def _removed(texts: pd.Series) -> pd.Series:
-    return texts.map(without_nested)
+def _few(one: Callable[[str | None], str | None]) -> Callable[[pa.Array], pa.Array]:
+    """one for each text of a batch, a few texts at a time: a batch may be as large as Spark sends it."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(map(one, texts.slice(i, SLICE).to_pylist()), texts.type) for i in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else texts
+
+    return run
+
 
+def _once(one: Callable[[str | None], str | None]):
+    """one as a function of columns that is worked out once where a filter and a projection both have it, by one worker of a task."""
+    return F.arrow_udf(_few(one), "string").asNondeterministic()
 
-def _bare(texts: pd.Series) -> pd.Series:
+
+def _bare(t: str | None) -> str | None:
     """Templates and tables gone, links as their labels, tags gone, entities decoded."""
     import html
     import re
 
-    def one(t):
-        if t is None:
-            return None
-        t = without_nested(t, ("{{",), ("{{", "}}"))
-        t = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", r"\1", t)
-        t = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", t, flags=re.S)
-        return html.unescape(re.sub(r"<[^>]+>", "", t))
-
-    return texts.map(one)
+    if t is None:
+        return None
+    t = without_nested(t, ("{{",), ("{{", "}}"))
+    t = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", r"\1", t)
+    t = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", t, flags=re.S)
+    return html.unescape(re.sub(r"<[^>]+>", "", t))
 
 
 def _unescaped(texts: pd.Series) -> pd.Series:
@@ -72,11 +85,11 @@ def unescaped(text: Column) -> Column:
 
 
 def without_file_links(text: Column) -> Column:
-    return F.pandas_udf(_removed, "string")(text)
+    return _once(without_nested)(text)
 
 
 def clean(text: Column) -> Column:
     """Wiki text to plain text: up to the appendix, without file links, templates, link marks and quotes."""
     tables = F.replace(F.replace(before_appendix(text), F.lit("{|"), F.lit("{{")), F.lit("|}"), F.lit("}}"))
-    bare = F.pandas_udf(_bare, "string")(formatted_numbers(without_file_links(tables)))
+    bare = _once(_bare)(formatted_numbers(without_file_links(tables)))
     return single_blanks(without_quotes_of_markup(bare))
