@@ -32,7 +32,7 @@ from .common import discard, materialize, release, shared_dir
 
 #: A word is frequent from this share of all running words on, which bounds the lexicon to 100,000 words; and longest bytes of such a word.
 SHARE, WORD_BYTES = 1e-5, 64
-#: Rows and bytes of text that a worker turns into Python objects at a time; words a task counts before it hands its counts on.
+#: Rows and bytes of text that a worker turns into Python objects at a time; words a task counts, or keeps with their digits, before it hands its counts on or begins anew.
 ROWS, TEXT_BYTES, COUNTED = 2_048, 4 << 20, 200_000
 #: Ids from which merging uses a heap; shorter words that a worker keeps once they are merged.
 HEAP_IDS, MERGED = 96, 400_000
@@ -398,15 +398,23 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, automaton = load(path), mapped(name)
+        size: dict[str, int] = {}
+        digits: dict[str, str] = {}
+        raw: dict[str, bytes] = {}
         for batch in slices(batches):
             texts = [tokenizer.words(x or "") for x in batch.column(1).to_pylist()]
-            ids_of = _ids(tokenizer, automaton, set(chain.from_iterable(texts)))
+            # ids are put into digits and bytes once a distinct word, and joined by words
+            if len(size) >= COUNTED:
+                size.clear(), digits.clear(), raw.clear()
+            for word, ids in _ids(tokenizer, automaton, set(chain.from_iterable(texts)) - size.keys()).items():
+                size[word], digits[word], raw[word] = len(ids), ",".join(map(tokenizer.digits.__getitem__, ids)), b"".join(map(tokenizer.bytes_of.__getitem__, ids))
             n, of_ids, of_text = [], [], []
             for words in texts:
-                ids = list(chain.from_iterable(map(ids_of.__getitem__, words)))
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(tokenizer.digits.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest())
+                n.append(sum(map(size.__getitem__, words)))
+                of_ids.append(hashlib.sha256(",".join(map(digits.__getitem__, words)).encode()).hexdigest())
+                of_text.append(hashlib.sha256(b"".join(map(raw.__getitem__, words)).decode("utf-8", "replace").encode()).hexdigest())
+            for word in [w for w in set(chain.from_iterable(texts)) if len(w) > WORD_BYTES]:
+                del size[word], digits[word], raw[word]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
