@@ -4,18 +4,18 @@ Words are the matches of the byte-level pattern. All are counted over all docume
 threshold (which bounds their number) are encoded once and compiled, in sorted order, into the minimal subsequential transducer: states with
 the same continuations are one state, so that words share prefixes and suffixes, and the ids are put out as early as all words through a transition agree.
 The automaton is a file of flat arrays that Spark hands to each executor; the workers of an executor map the same copy into memory
-and walk all words of a slice through it at once, one byte a step. Words that it doesn't hold are merged exactly.
+and walk the distinct words of a slice through it at once, one byte a step. Words that it doesn't hold are merged exactly, also all at once, one merge of each a step.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
 import hashlib
 import heapq
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,10 +32,22 @@ from .common import discard, materialize, release, shared_dir
 
 #: A word is frequent from this share of all running words on, which bounds the lexicon to 100,000 words; and longest bytes of such a word.
 SHARE, WORD_BYTES = 1e-5, 64
-#: Rows and bytes of text that a worker turns into Python objects at a time; words a task counts, or keeps with their digits, before it hands its counts on or begins anew.
-ROWS, TEXT_BYTES, COUNTED = 2_048, 4 << 20, 200_000
-#: Ids from which merging uses a heap; shorter words that a worker keeps once they are merged.
-HEAP_IDS, MERGED = 96, 400_000
+#: Rows and bytes of text whose words a worker holds at a time; words that it puts into digits at a time.
+ROWS, TEXT_BYTES, WORDS = 4_096, 8 << 20, 1 << 16
+#: Ids from which merging uses a heap.
+HEAP_IDS = 96
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, ... of each range, one range after another."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all parts, where each begins, and its length."""
+    size = np.array(list(map(len, parts)), np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
 
 def byte_letters() -> list[str]:
@@ -70,26 +82,70 @@ class Tokenizer:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token))
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
-        self.digits = list(map(str, range(len(self.bytes_of))))
-        self.merged: dict[str, tuple[int, ...]] = {}
+        self.raw, self.digits = flat(self.bytes_of), flat([b"%d," % i for i in range(len(self.bytes_of))])
+        # the pairs in order of a number that stands for both; the pairs of bytes once more in a square
+        number = np.array([a * len(self.bytes_of) + b for a, b in self.merges], np.int64)
+        order = np.argsort(number)
+        self.pair, self.pair_rank = number[order], np.array(list(self.merges.values()), np.int64)[order]
+        self.of_byte_array, self.made_array = np.array(self.of_byte, np.int64), np.array([*self.made, -1], np.int64)
+        self.byte_rank = self.ranks(np.repeat(self.of_byte_array, 256), np.tile(self.of_byte_array, 256))
+
+    def starts(self, text: str) -> np.ndarray:
+        """Where (code points) the matches of the pattern and the added tokens of a text begin; they cover it."""
+        if not self.cut or not self.cut.search(text):
+            return slice_starts(text)
+        found, at = [np.empty(0, np.int64)], 0
+        for part in self.cut.split(text):
+            if part:
+                found.append(np.array([at]) if part in self.added else slice_starts(part) + at)
+            at += len(part)
+        return np.concatenate(found)
 
     def words(self, text: str) -> list[str]:
-        """The matches of the pattern and the added tokens of a text, in order; they cover it."""
-        found: list[str] = []
-        for part in self.cut.split(text) if self.cut else (text,):
-            if part in self.added:
-                found.append(part)
-            elif part:
-                bounds = slice_starts(part).tolist()
-                found += [part[a:b] for a, b in zip(bounds, [*bounds[1:], len(part)])]
-        return found
+        """The matches of the pattern and the added tokens of a text, in order."""
+        bounds = self.starts(text).tolist()
+        return [text[a:b] for a, b in zip(bounds, [*bounds[1:], len(text)])]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, as many as there are merges where there is none."""
+        number = left * len(self.bytes_of) + right
+        at = np.minimum(np.searchsorted(self.pair, number), max(len(self.pair) - 1, 0))
+        return np.where(self.pair[at] == number, self.pair_rank[at], len(self.made)) if len(self.pair) else np.full(len(number), len(self.made))
+
+    def merge_all(self, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words that lie in text from first on, none empty, one after another; and how many each has. All words go together, a merge of each a step, as merge() does it for one."""
+        none, count = len(self.made), size.copy()
+        raw = text[spread(first, size)]
+        ids, word = self.of_byte_array[raw], np.repeat(np.arange(len(size)), size)
+        rank = np.full(len(raw), none)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.byte_rank[raw[inside].astype(np.int64) << 8 | raw[inside + 1]]
+        done_word, done_ids = [], []
+        while len(ids):
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            low = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(ids))))
+            if not (open_ := low < none).all():
+                done_word.append(word[~open_]), done_ids.append(ids[~open_])
+                ids, word, rank, low = ids[open_], word[open_], rank[open_], low[open_]
+            at = np.flatnonzero(rank == low)
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])] if len(at) else at  # the leftmost of equals
+            ids[at] = self.made_array[low[at]]
+            count[word[at]] -= 1
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, word, rank, at = ids[kept], word[kept], rank[kept], at - np.arange(len(at))
+            # the pairs with the new id on either side
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(ids) - 1)
+                rank[left] = np.where((right > left) & (word[left] == word[right]), self.ranks(ids[left], ids[right]), none)
+        if not done_ids:
+            return np.empty(0, np.int64), count
+        return np.concatenate(done_ids)[np.argsort(np.concatenate(done_word), kind="stable")], count
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of a word: the pair of the earliest merge, the leftmost of equals, is merged until none is left."""
         if word in self.added:
             return (self.added[word],)
-        if (known := self.merged.get(word)) is not None:
-            return known
         ids, merges = [self.of_byte[b] for b in word.encode()], self.merges
         if len(ids) >= HEAP_IDS:
             return self._merge_long(ids)
@@ -103,10 +159,7 @@ class Tokenizer:
                 pairs[i - 1] = merges.get((ids[i - 1], ids[i]), none)
             if i < len(pairs):
                 pairs[i] = merges.get((ids[i], ids[i + 1]), none)
-        if len(self.merged) >= MERGED:
-            self.merged.clear()
-        found = self.merged[word] = tuple(ids)
-        return found
+        return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap over linked ids, so that a text without boundaries takes n log n."""
@@ -238,14 +291,17 @@ class Lexicon:
         self.root = len(self.end) - 1
 
     def look_up(self, words: list[str]) -> list[tuple[int, ...] | None]:
-        """The ids of each word, None where the lexicon doesn't hold it; all words go a byte a step."""
-        if not words or not len(self.key):
-            return [None] * len(words)
-        raw = [w.encode() for w in words]
-        text = np.frombuffer(b"".join(raw), np.uint8)
-        size = np.array(list(map(len, raw)), np.int64)
-        start = np.cumsum(size) - size
-        state = np.full(len(raw), self.root, np.int64)
+        """The ids of each word, None where the lexicon doesn't hold it."""
+        held, ids, count = self.walk(*flat([w.encode() for w in words]))
+        ids, bounds = ids.tolist(), np.cumsum([0, *count]).tolist()
+        return [tuple(ids[a:b]) if h else None for h, a, b in zip(held.tolist(), bounds, bounds[1:])]
+
+    def walk(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the words that lie in text from start on the lexicon holds, the ids of these one after another, and how many each word has; all words go a byte a step."""
+        n = len(size)
+        if not n or not len(self.key):
+            return np.zeros(n, bool), np.empty(0, np.int64), np.zeros(n, np.int64)
+        state = np.full(n, self.root, np.int64)
         state[size > WORD_BYTES] = -1
         whose, what = [], []
         at = np.flatnonzero(state >= 0)
@@ -266,18 +322,14 @@ class Lexicon:
         end = np.where(state >= 0, self.end[state], -1)
         whose.append(np.flatnonzero(end > 0))
         what.append(end[end > 0])
-        found: list[tuple[int, ...] | None] = [None] * len(raw)
-        held = np.flatnonzero(end >= 0)
+        held = end >= 0
         who, put = np.concatenate(whose), np.concatenate(what)
+        who, put = who[held[who]], put[held[who]]
         order = np.argsort(who, kind="stable")
         who, put = who[order], put[order]
         first = self.first[put]
         count = self.first[put + 1] - first
-        ids = self.ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())].tolist()
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(who, count, len(raw)))]).astype(np.int64).tolist()
-        for i in held.tolist():
-            found[i] = tuple(ids[bounds[i] : bounds[i + 1]])
-        return found
+        return held, self.ids[spread(first, count)], np.bincount(who, count, n).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -299,25 +351,52 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+class Words:
+    """The words of a slice's texts: how many a text has, where they begin in it (code points), and which of the slice's distinct words each is."""
+
+    def __init__(self, tokenizer: Tokenizer, texts: list[str | None]):
+        starts, offsets, raws, at = [], [], [], 0
+        for text in texts:
+            starts.append(begin := tokenizer.starts(text or ""))
+            raws.append(raw := (text or "").encode())
+            if len(raw) > len(text or ""):
+                begin = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)[begin]
+            offsets.append(begin + at)
+            at += len(raw)
+        self.n, self.starts = np.array(list(map(len, starts)), np.int64), np.concatenate([np.empty(0, np.int64), *starts])
+        offsets = np.concatenate([*offsets, [at]]).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b"".join(raws))).dictionary_encode()
+        self.which, self.distinct = found.indices.to_numpy(), found.dictionary
+
+    def ids(self, tokenizer: Tokenizer, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in these each distinct word's begin, and how many it has: out of the lexicon, else merged."""
+        _, offsets, text = self.distinct.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(self.distinct) + 1] if len(self.distinct) else np.zeros(1, np.int64)
+        text, begin, size = np.frombuffer(text or b"", np.uint8), offsets[:-1], np.diff(offsets)
+        held, ids, count = lexicon.walk(text, begin, size)
+        whole = [at for token in tokenizer.added if (at := pc.index(self.distinct, pa.scalar(token, pa.large_string())).as_py()) >= 0]
+        alone = size >= HEAP_IDS
+        alone[whole] = True
+        alone &= ~held
+        rest = np.flatnonzero(~held & ~alone)
+        merged, count[rest] = tokenizer.merge_all(text, begin[rest], size[rest])
+        single = [tokenizer.merge(self.distinct[at].as_py()) for at in np.flatnonzero(alone).tolist()]
+        count[alone] = list(map(len, single))
+        order = np.concatenate([np.flatnonzero(held), rest, np.flatnonzero(alone)])
+        first = np.empty(len(size), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate([ids, merged, *map(np.array, single)]).astype(np.int64), first, count
+
+
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n) of all texts; the null word has the number of all running words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, counts, total = load(path), Counter(), 0
-
-        def rows():
-            yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), total], pa.int64())], ["word", "n"])
-
+        tokenizer = load(path)
         for batch in slices(batches):
-            for text in batch.column(1).to_pylist():
-                words = tokenizer.words(text or "")
-                counts.update(words)
-                total += len(words)
-            if len(counts) > COUNTED:
-                yield from rows()
-                counts.clear()
-                total = 0
-        yield from rows()
+            words = Words(tokenizer, batch.column(1).to_pylist())
+            counts = np.bincount(words.which, minlength=len(words.distinct))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.distinct.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.append(counts, len(words.which)), pa.int64())], ["word", "n"])
 
     texts = docs.select(F.lit(0).alias("_"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -350,12 +429,6 @@ def _hand_out(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def _ids(tokenizer: Tokenizer, lexicon: Lexicon, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-    """The ids of distinct words: out of the lexicon, else merged."""
-    words = list(words)
-    return {w: tokenizer.merge(w) if ids is None else ids for w, ids in zip(words, lexicon.look_up(words))}
-
-
 def encode(docs: DataFrame, path: str, lexicon: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, word_start, word_ids): per document its ids, and for each word where it begins (code points) and at which id.
 
@@ -368,12 +441,12 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, automaton = load(path), mapped(name)
         for batch in slices(batches):
-            texts = [tokenizer.words(x or "") for x in batch.column(1).to_pylist()]
-            ids_of = _ids(tokenizer, automaton, set(chain.from_iterable(texts)))
-            ids = [[i for w in words for i in ids_of[w]] for words in texts]
-            starts = [np.cumsum([0, *map(len, words)])[:-1].astype(np.int64) for words in texts]
-            firsts = [np.cumsum([0, *(len(ids_of[w]) for w in words)])[:-1].astype(np.int64) for words in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "ids", "word_start", "word_ids"])
+            words = Words(tokenizer, batch.column(1).to_pylist())
+            ids, first, count = words.ids(tokenizer, automaton)
+            n = count[words.which]
+            by_word, by_text = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(words.n)])
+            columns = (by_word[by_text], ids[spread(first[words.which], n)].astype(np.int32)), (by_text, words.starts), (by_text, by_word[:-1] - np.repeat(by_word[by_text[:-1]], words.n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values)) for at, values in columns)], ["doc_id", "ids", "word_start", "word_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, word_start array<bigint>, word_ids array<bigint>")
@@ -398,24 +471,34 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, automaton = load(path), mapped(name)
-        size: dict[str, int] = {}
-        digits: dict[str, str] = {}
-        raw: dict[str, bytes] = {}
         for batch in slices(batches):
-            texts = [tokenizer.words(x or "") for x in batch.column(1).to_pylist()]
-            # ids are put into digits and bytes once a distinct word, and joined by words
-            if len(size) >= COUNTED:
-                size.clear(), digits.clear(), raw.clear()
-            for word, ids in _ids(tokenizer, automaton, set(chain.from_iterable(texts)) - size.keys()).items():
-                size[word], digits[word], raw[word] = len(ids), ",".join(map(tokenizer.digits.__getitem__, ids)), b"".join(map(tokenizer.bytes_of.__getitem__, ids))
-            n, of_ids, of_text = [], [], []
-            for words in texts:
-                n.append(sum(map(size.__getitem__, words)))
-                of_ids.append(hashlib.sha256(",".join(map(digits.__getitem__, words)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(b"".join(map(raw.__getitem__, words)).decode("utf-8", "replace").encode()).hexdigest())
-            for word in [w for w in set(chain.from_iterable(texts)) if len(w) > WORD_BYTES]:
-                del size[word], digits[word], raw[word]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            words = Words(tokenizer, batch.column(1).to_pylist())
+            ids, first, count = words.ids(tokenizer, automaton)
+            n, digits, text = _digests(tokenizer, words, ids, first, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digits, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _digests(tokenizer: Tokenizer, words: Words, ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[str], list[str]]:
+    """How many ids each text of a slice has, the digest of their digits, and that of what they decode to; a few words at a time, wherever texts end."""
+    of_digits, of_text = [hashlib.sha256() for _ in words.n], [hashlib.sha256() for _ in words.n]
+    decoder, ends, total = codecs.getincrementaldecoder("utf-8")("replace"), np.cumsum(words.n), np.zeros(len(words.n), np.int64)
+    for at in range(0, len(words.which), WORDS):
+        which = words.which[at : at + WORDS]
+        some = ids[spread(first[which], count[which])]
+        at_ids = np.concatenate([[0], np.cumsum(count[which])])
+        texts = np.arange(np.searchsorted(ends, at, "right"), min(np.searchsorted(ends, at + len(which)) + 1, len(ends)))
+        bounds = at_ids[np.minimum(np.append(ends[texts] - words.n[texts], ends[texts[-1]]) - at, len(which)).clip(0)]
+        total[texts] += np.diff(bounds)
+        for (table, begin, size), is_text in ((tokenizer.digits, False), (tokenizer.raw, True)):
+            out = table[spread(begin[some], size[some])].tobytes()
+            cuts = np.concatenate([[0], np.cumsum(size[some])])[bounds].tolist()
+            for i, a, b in zip(texts.tolist(), cuts, cuts[1:]):
+                last = ends[i] <= at + len(which)
+                if is_text:
+                    of_text[i].update(decoder.decode(out[a:b], last).encode())
+                else:
+                    of_digits[i].update(out[a : b - (last and b > a)])  # no comma at the end
+    return total, [x.hexdigest() for x in of_digits], [x.hexdigest() for x in of_text]

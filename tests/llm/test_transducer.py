@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -55,6 +56,29 @@ def test_transducer_is_minimal_and_gives_the_ids(tmp_path):
     assert len(found.end) == len(functions)
 
 
+def test_words_are_merged_together_as_alone():
+    own, rng = T.Tokenizer(PATH), random.Random(6)
+    words = ["a", "é", "aaaaaaa", "hello" * 4, *("".join(rng.choices(kind, k=rng.randrange(1, 30))) for kind in ("ab", " etaoin", "żółć€𝄞", "0123456789", "\n\t x") for _ in range(300))]
+    ids, count = own.merge_all(*T.flat([w.encode() for w in words]))
+    assert [tuple(x.tolist()) for x in np.split(ids, np.cumsum(count)[:-1])] == [own.merge(w) for w in words]
+    assert [len(x) for x in own.merge_all(*T.flat([]))] == [0, 0]
+
+
+def test_digests_wherever_a_slice_of_words_ends(reference, tmp_path, monkeypatch):
+    own, held = T.Tokenizer(PATH), automaton(tmp_path, [(" the", tuple(T.Tokenizer(PATH).merge(" the")))])
+    rows = ["", None, *(t[:40] for t in texts()), None, "x" * 300, "a<|endoftext|> the<|endoftext|>", "żółw the 𝄞 it's\u2003 the", ""]
+    encoded = [reference.encode(t or "", add_special_tokens=False).ids for t in rows]
+    want = [(len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for x, t in zip(encoded, rows)]
+    for size in (3, 1000, T.WORDS):
+        monkeypatch.setattr(T, "WORDS", size)
+        words = T.Words(own, rows)
+        assert list(zip(*(list(x) for x in T._digests(own, words, *words.ids(own, held))))) == want
+    # a word is held once a slice, however often it occurs
+    assert len(T.Words(own, ["the the the"] * 50).distinct) == 2
+    none = T.Words(own, ["", None])
+    assert [list(x) for x in T._digests(own, none, *none.ids(own, held))][0] == [0, 0]
+
+
 def common(ids):
     n = 0
     while all(len(x) > n for x in ids) and len({x[n] for x in ids}) == 1:
