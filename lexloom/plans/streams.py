@@ -13,7 +13,7 @@ from ..shared import dropped, scratch, written
 from ..sources import multistream
 from ..sources.frames import FrameSource
 from ..streaming import incremental
-from ..streaming.batches import batched
+from ..streaming.batches import arrive, batched
 from .tables import table
 
 
@@ -63,13 +63,13 @@ def dump_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that stream in, in batches of their source of at least 29,500 characters; a last row a day later lets the open batches go."""
+    """Documents that stream in, some files at a time in the order of their ids, in batches of their source of at least 29,500 characters; a last row a day later lets the open batches go."""
     d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("group_id"), F.col("doc_id").alias("ordinal"), "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
     last = spark.range(1).select(F.lit("").alias("group_id"), F.lit(-1).cast("long").alias("ordinal"), F.lit("").alias("text"), F.lit("2024-01-03 00:00:00").cast("timestamp").alias("at"))
     path, out, checkpoint = (scratch(spark, f"stream-{k}") for k in ("in", "out", "checkpoint"))
-    d.write.parquet(path)
+    files = arrive(d, path)
     last.write.mode("append").parquet(path)
-    stream = spark.readStream.schema(d.schema).parquet(path)
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", files).parquet(path)
     query = batched(stream, 29_500).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema("group_id string, batch int, ordinals array<bigint>, texts array<string>").parquet(out)
