@@ -1,7 +1,7 @@
 """A data source for streams of length-delimited messages that are read in parts.
 
 A stream has no marks to split it at, but its writer knows where messages begin: beside each file it leaves the places of some of them. The reader makes a task of each stretch between such places,
-so that one file is many tasks; a file without an index is one.
+so that one file is many tasks; a file without an index is one. Very many small stretches are put together, neighbours of a file only, so that there are no more tasks than the bytes are worth.
 
     spark.dataSource.register(FrameSource)
     articles.write.format("frames").mode("append").save(path)
@@ -15,17 +15,19 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .delimited import ARTICLE_FIELDS, _varint_bytes, decode, encode, frames
+from .delimited import ARTICLE_FIELDS, _headed, decode, decode_all, encode_all, frames  # noqa: F401 - decode, for one message
 from .schemas import ARTICLE
 
-#: Bytes of a stretch, at least; messages of a batch of rows; messages that a writer unpacks at a time; the ending of an index file.
-STRETCH, ROWS, SLICE, INDEX = 8 << 20, 256, 16, ".index"
+#: Bytes of a stretch, at least; messages of a batch of rows; messages that a writer encodes at a time; tasks that a reader has for small stretches, and bytes up to which it puts these together; the ending of an index file.
+STRETCH, ROWS, SLICE, TASKS, TASK_BYTES, INDEX = 8 << 20, 256, 64, 256, 32 << 20, ".index"
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -61,6 +63,7 @@ class FrameReader(DataSourceReader):
         infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path))
         sizes = {i.path: i.size for i in infos if i.type == fs.FileType.File}
         found: list[InputPartition] = []
+        least = min(TASK_BYTES, sum(size for file, size in sizes.items() if not file.endswith(INDEX)) // TASKS)
         for file, size in sorted(sizes.items()):
             if file.endswith(INDEX) or file.rsplit("/", 1)[-1].startswith(("_", ".")) or not size:
                 continue
@@ -69,7 +72,11 @@ class FrameReader(DataSourceReader):
                 with system.open_input_file(file + INDEX) as f:
                     raw = f.read()
                 places = list(struct.unpack(f"<{len(raw) // 8}q", raw))
-            found += [Stretch(file, a, b) for a, b in zip(places, [*places[1:], size])]
+            begins = [0]
+            for place in places[1:]:
+                if place - begins[-1] >= least:
+                    begins.append(place)
+            found += [Stretch(file, a, b) for a, b in zip(begins, [*begins[1:], size])]
         return found
 
     def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
@@ -80,14 +87,15 @@ class FrameReader(DataSourceReader):
         with system.open_input_file(partition.file) as f:
             f.seek(partition.start)
             data = f.read(partition.end - partition.start)
-        held: list[dict] = []
+        held: list[bytes] = []
+        rows = lambda: pa.RecordBatch.from_struct_array(decode_all(held, ARTICLE_FIELDS, pa.struct(list(kind))))
         for frame in frames(data):
-            held.append(decode(frame, ARTICLE_FIELDS))
+            held.append(frame)
             if len(held) == ROWS:
-                yield pa.RecordBatch.from_pylist(held, kind)
-                held = []
+                yield rows()
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_pylist(held, kind)
+            yield rows()
 
 
 class FrameWriter(DataSourceArrowWriter):
@@ -102,14 +110,15 @@ class FrameWriter(DataSourceArrowWriter):
         name = f"part-{uuid.uuid4().hex}"
         at, last, places = 0, 0, [0]
         with system.open_output_stream(f"{path}/_{name}") as f:
-            for row in (r for b in iterator for i in range(0, b.num_rows, SLICE) for r in b.slice(i, SLICE).to_pylist()):
-                if at - last >= self.stretch:
-                    places.append(at)
-                    last = at
-                body = encode(row, ARTICLE_FIELDS)
-                head = _varint_bytes(len(body))
-                f.write(head + body)
-                at += len(head) + len(body)
+            for some in (b.slice(i, SLICE) for b in iterator for i in range(0, b.num_rows, SLICE)):
+                bodies = _headed(encode_all(some.to_struct_array(), ARTICLE_FIELDS), b"")
+                ends = at + np.cumsum(pc.binary_length(bodies).to_numpy())
+                for end in ends.tolist():
+                    if at - last >= self.stretch:
+                        places.append(at)
+                        last = at
+                    at = end
+                f.write(b"".join(bodies.to_pylist()))
         with system.open_output_stream(f"{path}/_{name}{INDEX}") as f:
             f.write(struct.pack(f"<{len(places)}q", *places))
         return Written([name, name + INDEX])
